@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .media_png import op7_media_png
 from .mixing import op5_mixing
+from .packing import op1_best_fit_packing
 from .token_counts import op4_token_counts
 from .token_orc import op6_token_orc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_counts, op5_mixing, op6_token_orc, op7_media_png]
+    found = [op1_best_fit_packing, op4_token_counts, op5_mixing, op6_token_orc, op7_media_png]
     return {f.__name__: f for f in found}
 
 
