@@ -104,7 +104,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-LONG, INT, STR, BIN, DBL = T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType(), T.DoubleType()
+LONG, INT, STR, BIN, DBL, BOOL = T.LongType(), T.IntegerType(), T.StringType(), T.BinaryType(), T.DoubleType(), T.BooleanType()
 
 
 def schema(**fields: T.DataType) -> T.StructType:
