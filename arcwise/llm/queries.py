@@ -10,12 +10,13 @@ from .media_png import op7_media_png
 from .mixing import op5_mixing
 from .packing import op1_best_fit_packing
 from .simhash import op9_simhash
+from .suffix_dedup import op3_suffix_dedup
 from .token_counts import op4_token_counts
 from .token_orc import op6_token_orc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op4_token_counts, op5_mixing, op6_token_orc, op7_media_png, op9_simhash]
+    found = [op1_best_fit_packing, op3_suffix_dedup, op4_token_counts, op5_mixing, op6_token_orc, op7_media_png, op9_simhash]
     return {f.__name__: f for f in found}
 
 
