@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .langid import op2_language_id
 from .lattice import op8_lattice
 from .media_png import op7_media_png
 from .mixing import op5_mixing
@@ -17,7 +18,7 @@ from .token_orc import op6_token_orc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op3_suffix_dedup, op4_token_counts, op5_mixing, op6_token_orc, op7_media_png, op8_lattice, op9_simhash]
+    found = [op1_best_fit_packing, op2_language_id, op3_suffix_dedup, op4_token_counts, op5_mixing, op6_token_orc, op7_media_png, op8_lattice, op9_simhash]
     return {f.__name__: f for f in found}
 
 
