@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -291,8 +292,10 @@ def resolve(keys: np.ndarray, around: np.ndarray, docs: np.ndarray) -> np.ndarra
 
 
 def _resolve_bucket(group: pd.DataFrame) -> pd.DataFrame:
+    import zstandard
+
     keys = [np.frombuffer(x, "<u8") for x in group["keys"]]
-    around = np.frombuffer(b"".join(group["around"]), "u1").reshape(-1, WIDTH)
+    around = np.frombuffer(b"".join(zstandard.decompress(x) for x in group["around"]), "u1").reshape(-1, WIDTH)
     docs = np.concatenate([np.frombuffer(x, "<i8") for x in group["docs"]])
     mask = resolve(np.concatenate(keys), around, docs)
     cuts = np.cumsum([len(x) for x in keys])[:-1]
@@ -351,10 +354,12 @@ def _told(answers: pd.DataFrame, kind: str) -> np.ndarray:
 
 
 def _ask_entries(chunk: pd.DataFrame, answers: pd.DataFrame, n: int) -> pd.DataFrame:
+    import zstandard
+
     rows = []
     for row in chunk.to_dict("records"):
         keys, around, least, parts, places, entry, local = _entries(row, _told(answers, "u1"), n)
-        rows += [(b, row["chunk"], keys[i:j].astype("<u8").tobytes(), around[i:j].tobytes(), least[i:j].astype("<i8").tobytes()) for b, i, j in parts]
+        rows += [(b, row["chunk"], keys[i:j].astype("<u8").tobytes(), zstandard.compress(around[i:j].tobytes(), 3), least[i:j].astype("<i8").tobytes()) for b, i, j in parts]
         rows.append((-1, row["chunk"], places.astype("<i4").tobytes(), entry.astype("<i4").tobytes(), local.tobytes()))
     return pd.DataFrame(rows, columns=ENTRY.names)
 
@@ -405,8 +410,12 @@ def dedup_strings(docs: DataFrame, texts: bool = False, chunk_bytes: int = CHUNK
     remove each other's bytes. Extra columns are ignored; an empty table
     gives an empty result.
     """
-    chunks = keep(make_chunks(docs, chunk_bytes), "suffix-chunks")
     spark = docs.sparkSession
+    # Laid out by chunk, so that answers come to the texts and texts are never shuffled.
+    name = f"arcwise_chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    make_chunks(docs, chunk_bytes).write.bucketBy(buckets, "chunk").format("parquet").saveAsTable(name)
+    chunks = spark.table(name)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     n = max(1, -(-size // bucket_bytes))
