@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .langid import op2_language_id
 from .lattice import op8_lattice
+from .line_dedup import ORACLE_SQL as LINE_SQL
+from .line_dedup import op10_line_dedup
 from .media_png import op7_media_png
 from .mixing import op5_mixing
 from .packing import op1_best_fit_packing
@@ -18,9 +20,9 @@ from .token_orc import op6_token_orc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_language_id, op3_suffix_dedup, op4_token_counts, op5_mixing, op6_token_orc, op7_media_png, op8_lattice, op9_simhash]
+    found = [op1_best_fit_packing, op2_language_id, op3_suffix_dedup, op4_token_counts, op5_mixing, op6_token_orc, op7_media_png, op8_lattice, op9_simhash, op10_line_dedup]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_line_dedup": LINE_SQL}
