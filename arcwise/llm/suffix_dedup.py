@@ -38,7 +38,7 @@ from .common import BIN, INT, LONG, STR, keep, schema
 WINDOW, KEY = 50, 24
 LEFT = WINDOW - KEY
 #: Bytes of text in a chunk; bytes of text that one bucket of digits stands for.
-CHUNK, BUCKET, BLOCK = 4 << 20, 24 << 20, 1 << 20
+CHUNK, BUCKET, BLOCK = 2 << 20, 8 << 20, 1 << 18
 #: Occurrences of a key beyond which its windows are dealt by their own bytes.
 HOT = 100_000
 NOBODY = np.iinfo("int64").max
@@ -191,8 +191,10 @@ def _survey(row):
     at, keys = anchors(text, ends)
     doc = np.searchsorted(ends, at, side="right")
     uniq, inverse = np.unique(keys, return_inverse=True)
-    pairs = np.unique(np.stack([inverse, ids[doc]]), axis=1) if len(at) else np.zeros((2, 0), "int64")
-    return ids, ends, text, at, doc, uniq, inverse, np.bincount(pairs[0], minlength=len(uniq))
+    order = np.lexsort((ids[doc], inverse))
+    new = np.diff(inverse[order], prepend=-1) != 0
+    new[1:] |= np.diff(ids[doc][order]) != 0
+    return ids, ends, text, at, doc, uniq, inverse, np.bincount(inverse[order][new], minlength=len(uniq))
 
 
 def _low(keys: np.ndarray, n: int) -> np.ndarray:
