@@ -11,17 +11,17 @@ line, so lines first meet only the earliest line of each prefix word and
 length; just those left over meet all others. Groups of alike lines are thus
 never expanded into all pairs.
 
-Rarity comes from a table of fixed size: words are counted by 64-bit hash,
-hashed to slots, and a slot holds the level of its most frequent word. Any
-fixed order of words gives exact results; the table only shortens the lists.
-Words of level 0 occur in one line, and cannot make lines meet.
+Rarity comes from a table of fixed size: all words are counted by slots of
+their 64-bit hashes, and a word is as rare as its slot. Any fixed order of
+words gives exact results; the table only shortens the lists. Prefix words
+that one line alone has are dropped before lines meet.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import keep
@@ -29,15 +29,21 @@ from .common import keep
 SIMILARITY = (4, 5)
 #: Lines with fewer words are kept, and remove nothing.
 LEAST_WORDS = 5
-#: Slots of the rarity table (a power of two; one byte each) and slots of one row of it.
-SLOTS, ROW = 1 << 17, 1 << 12
+#: Slots of the rarity table.
+SLOTS = 1 << 16
+BLANKS = " \t\n\v\f\r"
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _words(line: str = "line") -> Column:
-    """Distinct words of a line."""
-    return F.array_distinct(F.filter(F.split(line, SPACE), lambda w: w != ""))
+    """Distinct words of a line that has any."""
+    return F.array_distinct(F.split(F.btrim(line, F.lit(BLANKS)), SPACE))
+
+
+def _hashes(line: str = "line") -> Column:
+    """The distinct words' hashes."""
+    return F.array_distinct(F.transform(F.split(F.btrim(line, F.lit(BLANKS)), SPACE), lambda w: F.xxhash64(w)))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -45,50 +51,48 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def rarity_table(words: DataFrame) -> DataFrame:
-    """One row, one string: a digit for each slot, the highest level of its words.
+def rarity_table(lines: DataFrame) -> str:
+    """Level of each slot of word hashes, comma-separated: about twice the log2 of its words over all lines(line)."""
+    slots = lines.select(F.explode(F.transform(F.split(F.btrim("line", F.lit(BLANKS)), SPACE), lambda w: F.xxhash64(w))).alias("w"))
+    rows = slots.groupBy(F.pmod("w", F.lit(SLOTS)).alias("slot")).agg(F.least(F.floor(2 * F.log2(F.count(F.lit(1)).cast("double"))), F.lit(63)).cast("int").alias("level")).collect()
+    levels = ["0"] * SLOTS  # SLOTS rows at most
+    for r in rows:
+        levels[r["slot"]] = str(r["level"])
+    return ",".join(levels)
 
-    words(word): one row for each line and word. Level 0 is a word of one
-    line, level k a word of 2^k lines or more. The table has SLOTS bytes
-    whatever the input.
-    """
-    level = F.least(F.floor(F.log2(F.col("n").cast("double"))), F.lit(25)).cast("int")
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    slot = F.pmod("word", F.lit(SLOTS))
-    seen = counted.groupBy(slot.alias("slot")).agg(F.max(level).alias("level"))
-    every = words.sparkSession.range(SLOTS).select(F.col("id").alias("slot"), F.lit(0).alias("level")).unionByName(seen)
-    full = every.groupBy("slot").agg(F.max("level").alias("level"))
-    rows = full.groupBy(F.floor(F.col("slot") / ROW).alias("row")).agg(F.sort_array(F.collect_list(F.struct("slot", "level"))).alias("cells"))
-    rows = rows.select("row", F.array_join(F.transform("cells", lambda c: F.char(c["level"] + 97)), "").alias("part"))
-    return rows.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row", "part"))), lambda r: r["part"]), "").cast("binary").alias("levels"))
-
-
-def prefix_rows(lines: DataFrame, levels: bytes, t: tuple[int, int]) -> DataFrame:
-    """(word, doc_id, line_no, n, pos, bits): the prefix words of lines(doc_id, line_no, words).
-
-    words holds hashes, levels is the rarity table. Words are ordered by
-    level, then hash, packed in one number. bits has a bit for each word.
+
+def prefix_rows(lines: DataFrame, levels: str, t: tuple[int, int]) -> DataFrame:
+    """(word, doc_id, line_no, n, pos, bits, hub): the prefix words of lines(doc_id, line_no, line) that several lines have.
+
+    Words are ordered by level, then hash, packed in one number that stands
+    for the word. bits has a bit for each word of the line. hub is the
+    earliest line with the prefix word and the length, null for itself.
     """
     a, b = t
+    rows = lines.select("doc_id", "line_no", _hashes().alias("words"))
+    table = F.split(F.lit(levels), ",").cast("array<bigint>")
 
     def key(w: Column) -> Column:
-        # The level stands in the five bits below the sign, the hash's lower bits after it.
-        level = F.ascii(F.substring(F.lit(levels), F.pmod(w, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).cast("string")) - 97
-        return F.shiftleft(level.cast("long"), 58).bitwiseOR(w.bitwiseAND(F.lit((1 << 58) - 1)))
+        # The level stands in the six bits below the sign, the hash's lower bits after it.
+        return F.shiftleft(F.get(table, F.pmod(w, F.lit(SLOTS)).cast("int")), 57).bitwiseOR(w.bitwiseAND(F.lit((1 << 57) - 1)))
 
-    bits = "aggregate(words, 0L, (s, w) -> s | shiftleft(1L, cast(shiftrightunsigned(w, 58) as int)))"
-    rows = lines.select("doc_id", "line_no", F.size("words").alias("n"), F.expr(bits).alias("bits"), F.sort_array(F.transform("words", key)).alias("keys"))
+    bits = "aggregate(words, 0L, (s, w) -> s | shiftleft(1L, cast(w & 63 as int)))"
+    rows = rows.select("doc_id", "line_no", F.size("words").alias("n"), F.expr(bits).alias("bits"), F.sort_array(F.transform("words", key)).alias("keys"))
     rows = rows.withColumn("keys", F.expr(f"slice(keys, 1, cast(n - (({a} * n + {b - 1}) div {b}) + 1 as int))"))
-    out = rows.select("doc_id", "line_no", "n", "bits", F.posexplode("keys").alias("pos", "word"))
-    return out.where(F.col("word") >= (1 << 58))  # level 0: no other line has it
+    rows = rows.select("doc_id", "line_no", "n", "bits", F.posexplode("keys").alias("pos", "word"))
+    same = Window.partitionBy("word", "n").orderBy("doc_id", "line_no")
+    rows = rows.repartition("word").withColumn("hub", F.first(F.struct("doc_id", "line_no", "pos", "bits")).over(same))
+    rows = rows.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("word"))).where("lists > 1").drop("lists")
+    own = F.struct("hub.doc_id", "hub.line_no") == F.struct("doc_id", "line_no")
+    return rows.withColumn("hub", F.when(~own, F.col("hub")))
 
 
-def candidate_pairs(later: DataFrame, earlier: DataFrame, t: tuple[int, int], same_length: bool) -> DataFrame:
+def candidate_pairs(later: DataFrame, earlier: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of lines as structs (doc_id, line_no), a earlier, that the bounds let through."""
     a_, b_ = t
     need = f"(({a_} * (x.n + y.n) + {a_ + b_ - 1}) div {a_ + b_})"  # least number of shared words
     bounds = f"""
-        x.word = y.word {"and x.n = y.n" if same_length else ""}
+        x.word = y.word
         and struct(x.doc_id, x.line_no) < struct(y.doc_id, y.line_no)
         and {a_} * x.n <= {b_} * y.n and {a_} * y.n <= {b_} * x.n
         and least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {need}
@@ -98,6 +102,14 @@ def candidate_pairs(later: DataFrame, earlier: DataFrame, t: tuple[int, int], sa
     return pairs.select(F.struct("x.doc_id", "x.line_no").alias("a"), F.struct("y.doc_id", "y.line_no").alias("b")).distinct()
 
 
+def hub_pairs(prefixes: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """candidate_pairs of each line with its prefix words' hubs."""
+    a_, b_ = t
+    need = f"((2 * {a_} * n + {a_ + b_ - 1}) div {a_ + b_})"
+    near = prefixes.where(f"hub is not null and least(pos, hub.pos) + n - greatest(pos, hub.pos) >= {need} and bit_count(bits ^ hub.bits) <= 2 * n - 2 * {need}")
+    return near.select(F.struct("hub.doc_id", "hub.line_no").alias("a"), F.struct("doc_id", "line_no").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFrame:
     """The later lines (doc_id, line_no) of those pairs whose words are similar enough."""
     a_, b_ = t
@@ -128,13 +140,11 @@ def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words:
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines.write.bucketBy(buckets, "doc_id", "line_no").option("compression", "zstd").format("parquet").saveAsTable(name)
     lines = spark.table(name)
-    words = lines.select("doc_id", "line_no", F.transform(_words(), lambda w: F.xxhash64(w)).alias("words"))
-    levels = bytes(rarity_table(words.select(F.explode("words").alias("word"))).first()[0])  # SLOTS bytes
-    prefixes = keep(prefix_rows(words, levels, t), "line-prefixes")
-    hubs = prefixes.groupBy("word", "n").agg(F.min(F.struct("doc_id", "line_no", "pos", "bits")).alias("s")).select("word", "n", "s.*")
-    near = verified(candidate_pairs(prefixes, hubs, t, True), lines, t)
+    prefixes = keep(prefix_rows(lines, rarity_table(lines), t), "line-prefixes")
+    near = verified(hub_pairs(prefixes, t), lines, t)
+    prefixes = prefixes.drop("hub")
     rest = prefixes.join(near, ["doc_id", "line_no"], "left_anti")
-    near = near.unionByName(verified(candidate_pairs(rest, prefixes, t, False), lines, t))
+    near = near.unionByName(verified(candidate_pairs(rest, prefixes, t), lines, t))
     # Copies of a first line go with it or after it.
     firsts = firsts.join(near.select(F.struct("doc_id", "line_no").alias("first"), F.lit(True).alias("gone")), "first", "left")
     copies = every.join(firsts, ["h1", "h2"])
