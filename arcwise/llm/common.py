@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -42,6 +43,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let finished steps' shuffle files go now, not at the next periodic collection of the driver's garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches so that long texts fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
@@ -80,7 +87,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star steps: every node links to the
     smallest neighbour, so chains shrink in a logarithmic number of rounds
     and no step gathers a component into one task. Each round is written to
-    the shared folder. The component is the smallest node reached. Nodes
+    the shared folder. The component is the smallest node reached, which has no row of its own. Nodes
     without edges are absent; loops and nulls are ignored.
     """
     spark = edges.sparkSession

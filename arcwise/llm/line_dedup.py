@@ -24,13 +24,13 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, release
 
 SIMILARITY = (4, 5)
 #: Lines with fewer words are kept, and remove nothing.
 LEAST_WORDS = 5
 #: Slots of the rarity table.
-SLOTS = 1 << 16
+SLOTS = 1 << 18
 BLANKS = " \t\n\v\f\r"
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -80,15 +80,19 @@ def prefix_rows(lines: DataFrame, levels: str, t: tuple[int, int]) -> DataFrame:
     rows = rows.select("doc_id", "line_no", F.size("words").alias("n"), F.expr(bits).alias("bits"), F.sort_array(F.transform("words", key)).alias("keys"))
     rows = rows.withColumn("keys", F.expr(f"slice(keys, 1, cast(n - (({a} * n + {b - 1}) div {b}) + 1 as int))"))
     rows = rows.select("doc_id", "line_no", "n", "bits", F.posexplode("keys").alias("pos", "word"))
-    same = Window.partitionBy("word", "n").orderBy("doc_id", "line_no")
-    rows = rows.repartition("word").withColumn("hub", F.first(F.struct("doc_id", "line_no", "pos", "bits")).over(same))
-    rows = rows.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("word"))).where("lists > 1").drop("lists")
-    own = F.struct("hub.doc_id", "hub.line_no") == F.struct("doc_id", "line_no")
-    return rows.withColumn("hub", F.when(~own, F.col("hub")))
+    rows = rows.repartition("word")
+    hub = F.first(F.struct("doc_id", "line_no", "pos", "bits")).over(Window.partitionBy("word", "n").orderBy("doc_id", "line_no"))
+    rows = rows.withColumn("hub", hub).withColumn("first", F.min(F.struct("doc_id", "line_no")).over(Window.partitionBy("word")))
+    rows = rows.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("word"))).where("lists > 1")
+    need = f"((2 * {a} * n + {a + b - 1}) div {a + b})"
+    apart = "bit_count(bits ^ hub.bits)"
+    near = f"least(pos, hub.pos) + n - greatest(pos, hub.pos) >= {need} and {apart} <= 2 * n - 2 * {need} and struct(hub.doc_id, hub.line_no) < struct(doc_id, line_no)"
+    rows = rows.withColumn("hub", F.expr(f"case when {near} then struct({apart} as apart, hub.doc_id, hub.line_no) end"))
+    return rows.withColumn("later", F.struct("doc_id", "line_no") > F.col("first")).drop("lists", "first")
 
 
 def candidate_pairs(later: DataFrame, earlier: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of lines as structs (doc_id, line_no), a earlier, that the bounds let through."""
+    """Pairs (a, b, apart) of lines as structs (doc_id, line_no), a earlier, that the bounds let through; apart counts unlike bits."""
     a_, b_ = t
     need = f"(({a_} * (x.n + y.n) + {a_ + b_ - 1}) div {a_ + b_})"  # least number of shared words
     bounds = f"""
@@ -99,19 +103,16 @@ def candidate_pairs(later: DataFrame, earlier: DataFrame, t: tuple[int, int]) ->
         and bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * {need}
     """
     pairs = earlier.alias("x").join(later.alias("y"), F.expr(bounds))
-    return pairs.select(F.struct("x.doc_id", "x.line_no").alias("a"), F.struct("y.doc_id", "y.line_no").alias("b")).distinct()
+    return pairs.select(F.struct("x.doc_id", "x.line_no").alias("a"), F.struct("y.doc_id", "y.line_no").alias("b"), F.expr("bit_count(x.bits ^ y.bits)").alias("apart"))
 
 
-def hub_pairs(prefixes: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """candidate_pairs of each line with its prefix words' hubs."""
-    a_, b_ = t
-    need = f"((2 * {a_} * n + {a_ + b_ - 1}) div {a_ + b_})"
-    near = prefixes.where(f"hub is not null and least(pos, hub.pos) + n - greatest(pos, hub.pos) >= {need} and bit_count(bits ^ hub.bits) <= 2 * n - 2 * {need}")
-    return near.select(F.struct("hub.doc_id", "hub.line_no").alias("a"), F.struct("doc_id", "line_no").alias("b")).distinct()
+def nearest_only(pairs: DataFrame) -> DataFrame:
+    """Each later line with its most alike candidate: one pair that passes is enough."""
+    return pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
 def verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The later lines (doc_id, line_no) of those pairs whose words are similar enough."""
+    """The later lines (doc_id, line_no) of those pairs (a, b) whose words are similar enough."""
     a_, b_ = t
     pairs = keep(pairs, "line-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().select("k.doc_id", "k.line_no")
@@ -119,7 +120,9 @@ def verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFram
     left, right = told.select(F.col("k").alias("a"), F.col("words").alias("wa")), told.select(F.col("k").alias("b"), F.col("words").alias("wb"))
     both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("wa", "wb")))
     near = both.where(f"{a_ + b_} * o >= {a_} * (size(wa) + size(wb))")
-    return keep(near.select("b.doc_id", "b.line_no").distinct(), "line-near")
+    near = keep(near.select("b.doc_id", "b.line_no").distinct(), "line-near")
+    release(lines.sparkSession)
+    return near
 
 
 def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -134,17 +137,23 @@ def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words:
     rows = split_lines(docs).where(F.regexp_count("line", F.lit(WORD)) >= least_words)
     every = keep(rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")), "line-hashes")
     firsts = keep(every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "line-firsts")
+    release(spark)
     # First lines with their texts, laid out by place so that looking them up again moves no text.
     lines = rows.join(firsts.select("first.doc_id", "first.line_no"), ["doc_id", "line_no"])
     name = f"arcwise_lines_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines.write.bucketBy(buckets, "doc_id", "line_no").option("compression", "zstd").format("parquet").saveAsTable(name)
     lines = spark.table(name)
+    release(spark)
     prefixes = keep(prefix_rows(lines, rarity_table(lines), t), "line-prefixes")
-    near = verified(hub_pairs(prefixes, t), lines, t)
+    release(spark)
+    near = verified(nearest_only(prefixes.where("hub is not null").select(F.struct("hub.doc_id", "hub.line_no").alias("a"), F.struct("doc_id", "line_no").alias("b"), "hub.apart")), lines, t)
     prefixes = prefixes.drop("hub")
-    rest = prefixes.join(near, ["doc_id", "line_no"], "left_anti")
-    near = near.unionByName(verified(candidate_pairs(rest, prefixes, t), lines, t))
+    rest = keep(prefixes.where("later").join(near, ["doc_id", "line_no"], "left_anti"), "line-rest")
+    release(spark)
+    more = verified(nearest_only(candidate_pairs(rest, prefixes, t)), lines, t)
+    last = rest.join(more, ["doc_id", "line_no"], "left_anti")
+    near = near.unionByName(more).unionByName(verified(candidate_pairs(last, prefixes, t).select("a", "b").distinct(), lines, t))
     # Copies of a first line go with it or after it.
     firsts = firsts.join(near.select(F.struct("doc_id", "line_no").alias("first"), F.lit(True).alias("gone")), "first", "left")
     copies = every.join(firsts, ["h1", "h2"])
