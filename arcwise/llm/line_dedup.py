@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import keep, release
+from .common import discard, keep, release
 
 SIMILARITY = (4, 5)
 #: Lines with fewer words are kept, and remove nothing.
@@ -111,18 +111,34 @@ def nearest_only(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
-def verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """The later lines (doc_id, line_no) of those pairs (a, b) whose words are similar enough."""
-    a_, b_ = t
-    pairs = keep(pairs, "line-pairs")
+def _with_words(pairs: DataFrame, lines: DataFrame, words: Column) -> tuple[DataFrame, DataFrame]:
+    """pairs with the words of both lines as wa and wb, and the kept table of words that it reads."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().select("k.doc_id", "k.line_no")
-    told = keep(lines.join(ends, ["doc_id", "line_no"]).select(F.struct("doc_id", "line_no").alias("k"), _words().alias("words")), "line-words")
+    told = keep(lines.join(ends, ["doc_id", "line_no"]).select(F.struct("doc_id", "line_no").alias("k"), words.alias("words")), "line-words")
     left, right = told.select(F.col("k").alias("a"), F.col("words").alias("wa")), told.select(F.col("k").alias("b"), F.col("words").alias("wb"))
-    both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("wa", "wb")))
-    near = both.where(f"{a_ + b_} * o >= {a_} * (size(wa) + size(wb))")
-    near = keep(near.select("b.doc_id", "b.line_no").distinct(), "line-near")
+    return pairs.join(left, "a").join(right, "b"), told
+
+
+def verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int], sift: bool = False) -> DataFrame:
+    """The later lines (doc_id, line_no) of those pairs (a, b) whose words are similar enough.
+
+    sift compares short hashes of the words first, which lets no similar pair
+    go, so that fewer words are moved.
+    """
+    a_, b_ = t
+    near = f"{a_ + b_} * size(array_intersect(wa, wb)) >= {a_} * (size(wa) + size(wb))"
+    pairs, spent = keep(pairs, "line-pairs"), []
+    if sift:
+        # Hashes that clash within a line hide common words: as many as clash are granted.
+        both, told = _with_words(pairs, lines, F.transform(_words(), lambda w: F.hash(w)))
+        common = f"{a_ + b_} * (size(array_intersect(wa, wb)) + size(wa) - size(array_distinct(wa))) >= {a_} * (size(wa) + size(wb))"
+        spent += [pairs, told]
+        pairs = keep(both.where(common).select("a", "b"), "line-pairs")
+    both, told = _with_words(pairs, lines, _words())
+    out = keep(both.where(near).select("b.doc_id", "b.line_no").distinct(), "line-near")
+    discard(*spent, pairs, told)
     release(lines.sparkSession)
-    return near
+    return out
 
 
 def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -153,7 +169,8 @@ def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words:
     release(spark)
     more = verified(nearest_only(candidate_pairs(rest, prefixes, t)), lines, t)
     last = rest.join(more, ["doc_id", "line_no"], "left_anti")
-    near = near.unionByName(more).unionByName(verified(candidate_pairs(last, prefixes, t).select("a", "b").distinct(), lines, t))
+    near = near.unionByName(more).unionByName(verified(candidate_pairs(last, prefixes, t).select("a", "b").distinct(), lines, t, sift=True))
+    discard(rest, prefixes)
     # Copies of a first line go with it or after it.
     firsts = firsts.join(near.select(F.struct("doc_id", "line_no").alias("first"), F.lit(True).alias("gone")), "first", "left")
     copies = every.join(firsts, ["h1", "h2"])
