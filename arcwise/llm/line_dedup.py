@@ -171,6 +171,7 @@ def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words:
     last = rest.join(more, ["doc_id", "line_no"], "left_anti")
     near = near.unionByName(more).unionByName(verified(candidate_pairs(last, prefixes, t).select("a", "b").distinct(), lines, t, sift=True))
     discard(rest, prefixes)
+    spark.sql(f"drop table {name}")
     # Copies of a first line go with it or after it.
     firsts = firsts.join(near.select(F.struct("doc_id", "line_no").alias("first"), F.lit(True).alias("gone")), "first", "left")
     copies = every.join(firsts, ["h1", "h2"])
