@@ -161,7 +161,9 @@ def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words:
     lines.write.bucketBy(buckets, "doc_id", "line_no").option("compression", "zstd").format("parquet").saveAsTable(name)
     lines = spark.table(name)
     release(spark)
-    prefixes = keep(prefix_rows(lines, rarity_table(lines), t), "line-prefixes")
+    # Prefix words laid out by word: candidate joins move the later lines only.
+    prefix_rows(lines, rarity_table(lines), t).write.bucketBy(buckets, "word").option("compression", "zstd").format("parquet").saveAsTable(f"{name}_prefixes")
+    prefixes = spark.table(f"{name}_prefixes")
     release(spark)
     near = verified(nearest_only(prefixes.where("hub is not null").select(F.struct("hub.doc_id", "hub.line_no").alias("a"), F.struct("doc_id", "line_no").alias("b"), "hub.apart")), lines, t)
     prefixes = prefixes.drop("hub")
@@ -170,8 +172,9 @@ def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words:
     more = verified(nearest_only(candidate_pairs(rest, prefixes, t)), lines, t)
     last = rest.join(more, ["doc_id", "line_no"], "left_anti")
     near = near.unionByName(more).unionByName(verified(candidate_pairs(last, prefixes, t).select("a", "b").distinct(), lines, t, sift=True))
-    discard(rest, prefixes)
+    discard(rest)
     spark.sql(f"drop table {name}")
+    spark.sql(f"drop table {name}_prefixes")
     # Copies of a first line go with it or after it.
     firsts = firsts.join(near.select(F.struct("doc_id", "line_no").alias("first"), F.lit(True).alias("gone")), "first", "left")
     copies = every.join(firsts, ["h1", "h2"])
