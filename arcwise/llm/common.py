@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -56,6 +57,7 @@ def release(spark: SparkSession) -> None:
     """Let finished steps' shuffle files go now, not at the next periodic collection of the driver's garbage."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # the cleaner works beside the driver
 
 
 def small_batches(spark: SparkSession) -> None:
