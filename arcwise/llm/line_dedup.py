@@ -23,6 +23,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, keep, release
 
@@ -36,14 +37,24 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _words(line: str = "line") -> Column:
+def _hashed(lines: DataFrame) -> bool:
+    """Whether the lines are arrays of distinct 64-bit hashes, one for each word, and no text."""
+    return isinstance(lines.schema["line"].dataType, T.ArrayType)
+
+
+def _words(lines: DataFrame) -> Column:
     """Distinct words of a line that has any."""
-    return F.array_distinct(F.split(F.btrim(line, F.lit(BLANKS)), SPACE))
+    return F.col("line") if _hashed(lines) else F.array_distinct(F.split(F.btrim("line", F.lit(BLANKS)), SPACE))
+
+
+def _all_hashes(lines: DataFrame) -> Column:
+    """The words' hashes."""
+    return F.col("line") if _hashed(lines) else F.transform(F.split(F.btrim("line", F.lit(BLANKS)), SPACE), lambda w: F.xxhash64(w))
 
 
-def _hashes(line: str = "line") -> Column:
+def _hashes(lines: DataFrame) -> Column:
     """The distinct words' hashes."""
-    return F.array_distinct(F.transform(F.split(F.btrim(line, F.lit(BLANKS)), SPACE), lambda w: F.xxhash64(w)))
+    return F.array_distinct(_all_hashes(lines))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
@@ -53,7 +64,7 @@ def split_lines(docs: DataFrame) -> DataFrame:
 
 def rarity_table(lines: DataFrame) -> str:
     """Level of each slot of word hashes, comma-separated: about twice the log2 of its words over all lines(line)."""
-    slots = lines.select(F.explode(F.transform(F.split(F.btrim("line", F.lit(BLANKS)), SPACE), lambda w: F.xxhash64(w))).alias("w"))
+    slots = lines.select(F.explode(_all_hashes(lines)).alias("w"))
     rows = slots.groupBy(F.pmod("w", F.lit(SLOTS)).alias("slot")).agg(F.least(F.floor(2 * F.log2(F.count(F.lit(1)).cast("double"))), F.lit(63)).cast("int").alias("level")).collect()
     levels = ["0"] * SLOTS  # SLOTS rows at most
     for r in rows:
@@ -69,7 +80,7 @@ def prefix_rows(lines: DataFrame, levels: str, t: tuple[int, int]) -> DataFrame:
     earliest line with the prefix word and the length, null for itself.
     """
     a, b = t
-    rows = lines.select("doc_id", "line_no", _hashes().alias("words"))
+    rows = lines.select("doc_id", "line_no", _hashes(lines).alias("words"))
     table = F.split(F.lit(levels), ",").cast("array<bigint>")
 
     def key(w: Column) -> Column:
@@ -130,11 +141,11 @@ def verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int], sift: bool
     pairs, spent = keep(pairs, "line-pairs"), []
     if sift:
         # Hashes that clash within a line hide common words: as many as clash are granted.
-        both, told = _with_words(pairs, lines, F.transform(_words(), lambda w: F.hash(w)))
+        both, told = _with_words(pairs, lines, F.transform(_words(lines), lambda w: F.hash(w)))
         common = f"{a_ + b_} * (size(array_intersect(wa, wb)) + size(wa) - size(array_distinct(wa))) >= {a_} * (size(wa) + size(wb))"
         spent += [pairs, told]
         pairs = keep(both.where(common).select("a", "b"), "line-pairs")
-    both, told = _with_words(pairs, lines, _words())
+    both, told = _with_words(pairs, lines, _words(lines))
     out = keep(both.where(near).select("b.doc_id", "b.line_no").distinct(), "line-near")
     discard(*spent, pairs, told)
     release(lines.sparkSession)
@@ -148,9 +159,16 @@ def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words:
     Rows with a null id or text have none. Rows that share an id are one
     document here: their lines go where the id's do.
     """
-    spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    rows = split_lines(docs).where(F.regexp_count("line", F.lit(WORD)) >= least_words)
+    return later_lines(split_lines(docs).where(F.regexp_count("line", F.lit(WORD)) >= least_words), t)
+
+
+def later_lines(rows: DataFrame, t: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The rows of (doc_id, line_no, line) that an earlier one resembles: (doc_id, line_no), each once.
+
+    line is a text with words or an array of distinct hashes with at least one.
+    """
+    spark = rows.sparkSession
     every = keep(rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")), "line-hashes")
     firsts = keep(every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "line-firsts")
     release(spark)

@@ -28,11 +28,21 @@ SEGMENTS = ((0, 2), (400_000, 4), (10_000_000, 8), (400_000_000, 16))
 
 def fingerprint(data: bytes, words: int = SHINGLE, seed: int = 42) -> int:
     """Bits set in over half of the XXH64 of the word shingles; 0 without words."""
+    h = shingle_hashes(data, words, seed)
+    ones = np.zeros(64, "int64")
+    for at in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[at : at + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="int64")
+    bits = np.packbits(ones * 2 > len(h), bitorder="little")
+    return int(bits.view("<u8")[0])
+
+
+def shingle_hashes(data: bytes, words: int = SHINGLE, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle, repeats included; a text of fewer words is one shingle, one without words has none."""
     import xxhash
 
     parts = data.lower().split()  # bytes: A-Z and ASCII white space only
     if not parts:
-        return 0
+        return np.array([], "<u8")
     joined = b" ".join(parts)
     if len(parts) <= words:
         hashes = [xxhash.xxh64_intdigest(joined, seed)]
@@ -42,12 +52,7 @@ def fingerprint(data: bytes, words: int = SHINGLE, seed: int = 42) -> int:
         ends = starts + sizes
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], seed) for a, b in zip(starts[: 1 - words].tolist(), ends[words - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, "<u8")
-    ones = np.zeros(64, "int64")
-    for at in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[at : at + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="int64")
-    bits = np.packbits(ones * 2 > len(h), bitorder="little")
-    return int(bits.view("<u8")[0])
+    return np.array(hashes, "<u8")
 
 
 def fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
