@@ -203,12 +203,14 @@ def register(query) -> None:
 
     @query("filter_betainc")
     def _(s, d):
-        return rounded(linalg.betainc_filter(reach(s, d), 0.5, 2.0).drop("series"))
+        g = part(s, d)
+        r = walk.reachability(g, g.nodes.select("id"), "O", [POISSON])
+        return rounded(linalg.betainc_filter(r, 0.5, 2.0).drop("series"))
 
     @query("betweenness")
     def _(s, d):
         g = part(s, d)
-        return rounded(learn.betweenness(g, chosen(g.nodes)))
+        return rounded(learn.betweenness(g, g.nodes.select("id")))
 
     @query("gram_pca")
     def _(s, d):
