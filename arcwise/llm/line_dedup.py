@@ -210,9 +210,9 @@ def drop_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
     return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """docs without their near-duplicate later lines; a text may become empty, its row stays."""
-    return drop_lines(docs, later_matches(docs))
+    return drop_lines(docs, later_matches(docs, least_words=least_words))
 
 
 def line_report(docs: DataFrame) -> DataFrame:
