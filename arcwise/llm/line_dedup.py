@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, keep, release
+from .common import discard, keep, spent_shuffles_go
 
 SIMILARITY = (4, 5)
 #: Lines with fewer words are kept, and remove nothing.
@@ -148,7 +148,6 @@ def verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int], sift: bool
     both, told = _with_words(pairs, lines, _words(lines))
     out = keep(both.where(near).select("b.doc_id", "b.line_no").distinct(), "line-near")
     discard(*spent, pairs, told)
-    release(lines.sparkSession)
     return out
 
 
@@ -171,22 +170,20 @@ def later_lines(rows: DataFrame, t: tuple[int, int] = SIMILARITY) -> DataFrame:
     spark = rows.sparkSession
     every = keep(rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")), "line-hashes")
     firsts = keep(every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "line-firsts")
-    release(spark)
     # First lines with their texts, laid out by place so that looking them up again moves no text.
     lines = rows.join(firsts.select("first.doc_id", "first.line_no"), ["doc_id", "line_no"])
     name = f"arcwise_lines_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines.write.bucketBy(buckets, "doc_id", "line_no").option("compression", "zstd").format("parquet").saveAsTable(name)
+    with spent_shuffles_go(spark):
+        lines.write.bucketBy(buckets, "doc_id", "line_no").option("compression", "zstd").format("parquet").saveAsTable(name)
     lines = spark.table(name)
-    release(spark)
     # Prefix words laid out by word: candidate joins move the later lines only.
-    prefix_rows(lines, rarity_table(lines), t).write.bucketBy(buckets, "word").option("compression", "zstd").format("parquet").saveAsTable(f"{name}_prefixes")
+    with spent_shuffles_go(spark):
+        prefix_rows(lines, rarity_table(lines), t).write.bucketBy(buckets, "word").option("compression", "zstd").format("parquet").saveAsTable(f"{name}_prefixes")
     prefixes = spark.table(f"{name}_prefixes")
-    release(spark)
     near = verified(nearest_only(prefixes.where("hub is not null").select(F.struct("hub.doc_id", "hub.line_no").alias("a"), F.struct("doc_id", "line_no").alias("b"), "hub.apart")), lines, t)
     prefixes = prefixes.drop("hub")
     rest = keep(prefixes.where("later").join(near, ["doc_id", "line_no"], "left_anti"), "line-rest")
-    release(spark)
     more = verified(nearest_only(candidate_pairs(rest, prefixes, t)), lines, t)
     last = rest.join(more, ["doc_id", "line_no"], "left_anti")
     near = near.unionByName(more).unionByName(verified(candidate_pairs(last, prefixes, t).select("a", "b").distinct(), lines, t, sift=True))
