@@ -2,19 +2,53 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder (spark.checkpoint.dir) and read it back, so plans stay short and survive lost executors."""
-    spark = df.sparkSession
+
+@contextlib.contextmanager
+def spent_shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Writes in the block delete their shuffle files when they end, as nothing reads them again."""
+    before = spark.conf.get(CLEAN, None)
+    spark.conf.set(CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEAN) if before is None else spark.conf.set(CLEAN, before)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where it is unset a temporary folder, which only a local master shares with its executors."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         top = "file://" + tempfile.mkdtemp(prefix="arcwise-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/arcwise/round-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    return top.rstrip("/") + "/arcwise"
+
+
+def cut(df: DataFrame, name: str = "round") -> DataFrame:
+    """Write df to the shared folder and read it back, so plans stay short and survive lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    with spent_shuffles_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that cut() wrote and nothing will read again."""
+    for df in tables:
+        if df is None:
+            continue
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
