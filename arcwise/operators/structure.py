@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, drop_loops, flip, sum_repeats, symmetrize
+from ..plans.tables import cut, discard
 
 
 def degrees(graph: Graph) -> DataFrame:
@@ -44,46 +45,116 @@ def triplets(graph: Graph) -> DataFrame:
 KINDS = {"out": (True, True), "cycle": (True, False), "mid": (False, True), "in": (False, False)}
 
 
-def triangles(graph: Graph, kind: str, weighted: bool = False) -> DataFrame:
-    """(id, tri): edges a -> b between neighbours a, b of v; weighted sums the cube root of the weights' product.
+def pair_table(graph: Graph) -> DataFrame:
+    """(x, y, xy, yx): each linked pair once, the end of lower degree (then id) first, with both directions' weights or null.
 
-    Weights are divided by the largest one first. The wedge side is joined on
-    both ends at once with the closing edges, so no wedge is kept.
+    Loops are left out and repeats summed. Written once, as all that follows
+    reads it several times.
     """
     e = sum_repeats(drop_loops(graph.edges))
+    low, up = F.col("src") < F.col("dst"), F.col("src") > F.col("dst")
+    pairs = e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max(F.when(low, F.col("w"))).alias("ab"), F.max(F.when(up, F.col("w"))).alias("ba"))
+    pairs = cut(pairs, "pairs")
+    deg = pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+    both = pairs.join(deg.select(F.col("id").alias("a"), F.col("d").alias("da")), "a").join(deg.select(F.col("id").alias("b"), F.col("d").alias("db")), "b")
+    first = F.struct("da", "a") < F.struct("db", "b")
+    pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    out = cut(both.select(pick("a", "b").alias("x"), pick("b", "a").alias("y"), pick("ab", "ba").alias("xy"), pick("ba", "ab").alias("yx"), pick("db", "da").alias("dy")), "oriented")
+    discard(pairs)
+    return out
+
+
+def closed_triples(pairs: DataFrame) -> DataFrame:
+    """(x, y, z, xy, yx, xz, zx, yz, zy): every triangle of pair_table once, with the weights of its directed edges or null.
+
+    Each node lists its neighbours of higher degree, so a list has at most
+    sqrt(2m) entries whatever the hubs. The rest of x's list goes to y, where
+    it meets y's list: a wedge is one number in an array, never a row.
+    """
+    lists = pairs.groupBy("x").agg(F.sort_array(F.collect_list(F.struct("dy", "y", "xy", "yx"))).alias("l"))
+    rest = lists.where(F.size("l") > 1).select("x", F.transform("l", lambda p: p["y"]).alias("ys"), F.posexplode("l").alias("at", "p"))
+    rest = rest.where(F.col("at") + 1 < F.size("ys")).select("x", F.col("p.y").alias("y"), F.col("p.xy").alias("xy"), F.col("p.yx").alias("yx"), F.expr("slice(ys, at + 2, size(ys))").alias("zs"))
+    own = pairs.groupBy(F.col("x").alias("y")).agg(F.collect_list("y").alias("ys"))
+    met = rest.join(own, "y").select("x", "y", "xy", "yx", F.explode(F.array_intersect("zs", "ys")).alias("z"))
+    xz = pairs.select("x", F.col("y").alias("z"), F.col("xy").alias("xz"), F.col("yx").alias("zx"))
+    yz = pairs.select(F.col("x").alias("y"), F.col("y").alias("z"), F.col("xy").alias("yz"), F.col("yx").alias("zy"))
+    return met.join(xz, ["x", "z"]).join(yz, ["y", "z"])
+
+
+def triangle_sums(graph: Graph, weighted: bool = False) -> DataFrame:
+    """(id, out, cycle, mid, in, n_out, n_cycle, n_mid, n_in): triangles of the four kinds at each node that closes any, from one pass.
+
+    Sums are counts, or with weighted the cube roots of the weights' products,
+    weights divided by the largest one first.
+    """
+    pairs = pair_table(graph)
     if weighted:
-        top = e.agg(F.max("w").alias("top"))
-        e = e.crossJoin(F.broadcast(top)).select("src", "dst", (F.col("w") / F.col("top")).alias("w"))  # one row
-    first, last = KINDS[kind]
-    va = e.select((F.col("src") if first else F.col("dst")).alias("v"), (F.col("dst") if first else F.col("src")).alias("a"), F.col("w").alias("w1"))
-    ab = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.col("w").alias("w2"))
-    vb = e.select((F.col("src") if last else F.col("dst")).alias("v"), (F.col("dst") if last else F.col("src")).alias("b"), F.col("w").alias("w3"))
-    closed = va.join(ab, "a").where("b <> v").join(vb, ["v", "b"])
-    tri = F.sum(F.cbrt(F.col("w1") * F.col("w2") * F.col("w3"))) if weighted else F.count(F.lit(1))
-    return closed.groupBy(F.col("v").alias("id")).agg(tri.alias("tri"))
+        top = pairs.agg(F.greatest(F.max("xy"), F.max("yx")).alias("top"))
+        pairs = pairs.crossJoin(F.broadcast(top)).select("x", "y", "dy", (F.col("xy") / F.col("top")).alias("xy"), (F.col("yx") / F.col("top")).alias("yx"))  # one row
+    found = closed_triples(pairs)
+
+    def term(*edges: str):
+        there = F.lit(True)
+        for e in edges:
+            there = there & F.col(e).isNotNull()
+        n = F.when(there, 1).otherwise(0)
+        if not weighted:
+            return n, n
+        size = F.cbrt(F.col(edges[0]) * F.col(edges[1]) * F.col(edges[2]))
+        return n, F.when(there, size).otherwise(0.0)
+
+    ends = []
+    for v, a, b in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y")):
+        sums = []
+        for kind, (first, last) in KINDS.items():
+            one = term(f"{v}{a}" if first else f"{a}{v}", f"{a}{b}", f"{v}{b}" if last else f"{b}{v}")
+            two = term(f"{v}{b}" if first else f"{b}{v}", f"{b}{a}", f"{v}{a}" if last else f"{a}{v}")
+            sums += [(one[1] + two[1]).alias(kind), (one[0] + two[0]).alias(f"n_{kind}")]
+        ends.append(F.struct(F.col(v).alias("id"), *sums))
+    names = [c for k in KINDS for c in (k, f"n_{k}")]
+    return found.select(F.explode(F.array(*ends)).alias("e")).select("e.*").groupBy("id").agg(*[F.sum(c).alias(c) for c in names])
+
+
+def triangles(graph: Graph, kind: str, weighted: bool = False) -> DataFrame:
+    """(id, tri): edges a -> b between neighbours a, b of v, of one kind; nodes without any are absent."""
+    return triangle_sums(graph, weighted).where(F.col(f"n_{kind}") > 0).select("id", F.col(kind).alias("tri"))
+
+
+def triangle_total(graph: Graph) -> DataFrame:
+    """One row total: triangles of all four kinds over all nodes."""
+    t = triangle_sums(graph)
+    return t.agg(F.coalesce(F.sum(sum((F.col(k) for k in KINDS), F.lit(0))), F.lit(0)).alias("total"))
 
 
 def clustering(graph: Graph, weighted: bool = False) -> DataFrame:
     """id, out_lcc, in_lcc, cycle_lcc, mid_lcc: triangles over triplets, at least 1e-6."""
-    out = triplets(graph)
-    for kind in ("out", "in", "cycle", "mid"):
-        out = out.join(triangles(graph, kind, weighted).withColumnRenamed("tri", kind), "id", "left")
+    out = triplets(graph).join(triangle_sums(graph, weighted), "id", "left")
     ratio = [(F.coalesce(F.col(k).cast("double"), F.lit(0.0)) / F.greatest(F.col(f"{k}_t").cast("double"), F.lit(1e-6))).alias(f"{k}_lcc") for k in ("out", "in", "cycle", "mid")]
     return out.select("id", *ratio)
 
 
+def _undirected_triangles(pairs: DataFrame) -> DataFrame:
+    """(id, tri): triangles at each node regardless of direction."""
+    return closed_triples(pairs).select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("tri"))
+
+
+def _undirected_degrees(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
+
+
 def undirected_clustering(graph: Graph) -> DataFrame:
     """id, lcc on the symmetric graph: the mean of the four kinds, which are equal there."""
-    both = graph.with_edges(symmetrize(drop_loops(graph.edges), "mean"))
-    t = triplets(both).join(triangles(both, "out"), "id", "left")
-    return t.select("id", (F.coalesce("tri", F.lit(0)) / F.greatest(F.col("out_t").cast("double"), F.lit(1e-6))).alias("lcc"))
+    pairs = pair_table(graph)
+    t = graph.nodes.select("id").join(_undirected_degrees(pairs), "id", "left").join(_undirected_triangles(pairs), "id", "left").na.fill(0)
+    return t.select("id", (2 * F.col("tri") / F.greatest((F.col("d") * (F.col("d") - 1)).cast("double"), F.lit(1e-6))).alias("lcc"))
 
 
 def global_clustering(graph: Graph) -> DataFrame:
     """Closed over all triplets of the undirected graph."""
-    both = graph.with_edges(symmetrize(drop_loops(graph.edges), "mean"))
-    closed = triangles(both, "out").agg(F.sum("tri").alias("c"))
-    return closed.crossJoin(triplets(both).agg(F.sum("out_t").alias("t"))).select((F.coalesce("c", F.lit(0)) / F.col("t")).alias("clustering"))
+    pairs = pair_table(graph)
+    closed = _undirected_triangles(pairs).agg(F.sum("tri").alias("c"))
+    d = graph.nodes.select("id").join(_undirected_degrees(pairs), "id")
+    return closed.crossJoin(d.agg(F.sum(F.col("d") * (F.col("d") - 1)).alias("t"))).select((2 * F.coalesce("c", F.lit(0)) / F.col("t")).alias("clustering"))
 
 
 def egonets(graph: Graph) -> DataFrame:

@@ -419,11 +419,7 @@ def _(s, d):
 
 @query("triangle_total", with_graph("part", "select cast(sum(tri) as bigint) as total from (" + " union all ".join(tri_sql(k) for k in ENDS) + ")"))
 def _(s, d):
-    g = part(s, d)
-    every = structure.triangles(g, "out")
-    for k in ("in", "cycle", "mid"):
-        every = every.unionAll(structure.triangles(g, k))
-    return every.agg(F.sum("tri").alias("total"))
+    return structure.triangle_total(part(s, d))
 
 
 from . import registry_more  # noqa: E402  the rest registers itself here
