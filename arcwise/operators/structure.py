@@ -158,18 +158,32 @@ def global_clustering(graph: Graph) -> DataFrame:
 
 
 def egonets(graph: Graph) -> DataFrame:
-    """id, n_edges, n_src, n_dst and their weight sums: edges inside, leaving and entering {v} and its neighbours."""
-    e = sum_repeats(drop_loops(graph.edges))
-    ego = graph.nodes.select(F.col("id"), F.col("id").alias("m")).unionAll(e.select("src", "dst")).unionAll(e.select("dst", "src")).distinct()
-    # Each edge of each ego once, with the ends that are members.
-    touch = ego.join(e, F.col("m") == F.col("src")).select("id", "src", "dst", "w", F.lit(1).alias("s"), F.lit(0).alias("d")).unionAll(
-        ego.join(e, F.col("m") == F.col("dst")).select("id", "src", "dst", "w", F.lit(0), F.lit(1))
+    """id, n_edges, n_src, n_dst and their weight sums: edges inside, leaving and entering {v} and its neighbours.
+
+    Edges inside are the node's own and, for each of its triangles, those
+    opposite. The members' out-edges are those inside and those leaving,
+    their in-edges those inside and those entering, so degrees give the rest
+    and no edge list is built for an ego.
+    """
+    pairs = pair_table(graph)
+    one = lambda c: F.when(F.col(c).isNotNull(), 1).otherwise(0)
+    w = lambda c: F.coalesce(c, F.lit(0.0))
+    # Both ends of each pair: the node, the other end, and what leaves and enters the node by the pair.
+    sides = F.array(
+        F.struct(F.col("x").alias("id"), F.col("y").alias("m"), one("xy").alias("o"), one("yx").alias("i"), w("xy").alias("wo"), w("yx").alias("wi")),
+        F.struct(F.col("y").alias("id"), F.col("x").alias("m"), one("yx").alias("o"), one("xy").alias("i"), w("yx").alias("wo"), w("xy").alias("wi")),
     )
-    per = touch.groupBy("id", "src", "dst").agg(F.first("w").alias("w"), F.max("s").alias("s"), F.max("d").alias("d"))
-    kinds = {"edges": "s = 1 and d = 1", "src": "s = 1 and d = 0", "dst": "s = 0 and d = 1"}
-    sums = [F.sum(F.expr(f"case when {c} then 1 else 0 end")).alias(f"n_{k}") for k, c in kinds.items()]
-    sums += [F.sum(F.expr(f"case when {c} then w else 0 end")).alias(f"w_{k}") for k, c in kinds.items()]
-    return graph.nodes.select("id").join(per.groupBy("id").agg(*sums), "id", "left").na.fill(0)
+    sided = pairs.select(F.explode(sides).alias("s")).select("s.*")
+    deg = cut(sided.groupBy("id").agg(*[F.sum(c).alias(c) for c in ("o", "i", "wo", "wi")]), "degrees")
+    member = sided.select("id", "m").join(deg.withColumnRenamed("id", "m"), "m").groupBy("id").agg(*[F.sum(c).alias(f"m_{c}") for c in ("o", "i", "wo", "wi")])
+    across = [F.struct(F.col(v).alias("id"), (one(f"{a}{b}") + one(f"{b}{a}")).alias("n"), (w(f"{a}{b}") + w(f"{b}{a}")).alias("w")) for v, a, b in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y"))]
+    opposite = closed_triples(pairs).select(F.explode(F.array(*across)).alias("s")).select("s.*").groupBy("id").agg(F.sum("n").alias("n_opp"), F.sum("w").alias("w_opp"))
+    t = graph.nodes.select("id").join(deg, "id", "left").join(member, "id", "left").join(opposite, "id", "left").na.fill(0)
+    n_in, w_in = F.col("o") + F.col("i") + F.col("n_opp"), F.col("wo") + F.col("wi") + F.col("w_opp")
+    return t.select(
+        "id", n_in.alias("n_edges"), (F.col("o") + F.col("m_o") - n_in).alias("n_src"), (F.col("i") + F.col("m_i") - n_in).alias("n_dst"),
+        w_in.alias("w_edges"), (F.col("wo") + F.col("m_wo") - w_in).alias("w_src"), (F.col("wi") + F.col("m_wi") - w_in).alias("w_dst"),
+    )
 
 
 def node_homophily(edges: DataFrame, labels: DataFrame) -> DataFrame:
