@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..graph import Graph, drop_loops, flip, sum_repeats, symmetrize
+from ..graph import Graph, drop_loops, flip, sum_repeats
 from ..plans.tables import cut, discard
 
 
@@ -200,15 +200,36 @@ def two_step(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def homophily_suite(graph: Graph) -> DataFrame:
-    """One row of one-step and two-step homophilies, directed and undirected, and what direction gains."""
-    e, y = sum_repeats(graph.edges), graph.nodes.select("id", "label")
-    t, u = flip(e), symmetrize(e, "sum")
-    found = {"h_u": u, "h_u2": two_step(u, u), "h_d": e, "h_d_t": t, "h_d_aa": two_step(e, e), "h_d_a_a_t": two_step(e, t), "h_d_a_t_a": two_step(t, e), "h_d_a_t_a_t": two_step(t, t)}
-    rows = None
-    for name, edges in found.items():
-        one = node_homophily(edges, y).select(F.lit(name).alias("name"), "h")
-        rows = one if rows is None else rows.unionAll(one)
-    wide = rows.groupBy().pivot("name", list(found)).agg(F.first("h"))
+    """One row of one-step and two-step homophilies, directed and undirected, and what direction gains.
+
+    A product's share needs only how much weight reaches each class, so the
+    second step is replaced by class sums of each node: o(m, class) over its
+    out-edges, i(m, class) over its in-edges. No product is formed; all
+    shuffles are of edges or of (node, class) sums. The undirected graph is
+    the sum of both directions, so its values are sums too.
+    """
+    e, y = cut(sum_repeats(graph.edges), "edges"), graph.nodes.select("id", "label")
+    lab = y.select("id", "label", F.lit(True).alias("known"))
+    # Each directed edge seen from both of its ends: me, the other end, and the weight that leaves (o) or enters (i) me.
+    far = F.array(F.struct(F.col("src").alias("id"), F.col("dst").alias("m"), F.col("w").alias("o"), F.lit(0.0).alias("i")), F.struct(F.col("dst").alias("id"), F.col("src").alias("m"), F.lit(0.0).alias("o"), F.col("w").alias("i")))
+    seen = e.select(F.explode(far).alias("s")).select("s.*")
+    classes = cut(seen.join(y.withColumnRenamed("id", "m"), "m").groupBy("id", "label").agg(F.sum("o").alias("c_o"), F.sum("i").alias("c_i")), "classes")
+    totals = classes.groupBy("id").agg(F.sum("c_o").alias("t_o"), F.sum("c_i").alias("t_i"))
+    # One step: the share of a node's own class among its class sums.
+    own = lab.join(totals, "id").join(classes, ["id", "label"], "left").na.fill(0.0, ["c_o", "c_i"])
+    share = lambda s, t: F.avg(F.when(t != 0, s / t))
+    c = F.col
+    one = own.agg(share(c("c_o") + c("c_i"), c("t_o") + c("t_i")).alias("h_u"), share(c("c_o"), c("t_o")).alias("h_d"), share(c("c_i"), c("t_i")).alias("h_d_t"))
+    # Two steps: to the middle node m, then by its sums of my class and of all classes.
+    there = seen.join(lab, "id").select("id", F.col("label"), "m", "o", "i")
+    total = there.join(totals.withColumnRenamed("id", "m"), "m")
+    met = total.join(classes.withColumnRenamed("id", "m"), ["m", "label"], "left").na.fill(0.0, ["c_o", "c_i"])
+    steps = {"aa": ("o", "o"), "a_a_t": ("o", "i"), "a_t_a": ("i", "o"), "a_t_a_t": ("i", "i")}
+    sums = [F.sum(c(a) * c(f"{k}_{b}")).alias(f"{k}_{n}") for n, (a, b) in steps.items() for k in ("c", "t")]
+    per = met.groupBy("id").agg(*sums)
+    all_of = lambda k: sum((c(f"{k}_{n}") for n in steps), F.lit(0.0))
+    two = per.agg(share(all_of("c"), all_of("t")).alias("h_u2"), *[share(c(f"c_{n}"), c(f"t_{n}")).alias(f"h_d_{n}") for n in steps])
+    wide = one.crossJoin(two).select("h_u", "h_u2", "h_d", "h_d_t", "h_d_aa", "h_d_a_a_t", "h_d_a_t_a", "h_d_a_t_a_t")  # one row each
     wide = wide.withColumn("h_u_eff", F.greatest("h_u", "h_u2")).withColumn("h_d_eff", F.greatest("h_d", "h_d_t", "h_d_aa", "h_d_a_a_t", "h_d_a_t_a", "h_d_a_t_a_t"))
     return wide.withColumn("h_eff_gain", F.col("h_d_eff") / F.col("h_u_eff"))
 
