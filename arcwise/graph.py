@@ -1,7 +1,7 @@
 """The graph value and edge-table rewrites.
 
-Edges are (src, dst, w), nodes (id, ...); isolated nodes exist only in the
-node table. Every function maps DataFrames to DataFrames.
+Edges are (src, dst, w), nodes (id, ...). The node table holds every end of an
+edge; isolated nodes exist only there. Every function maps DataFrames to DataFrames.
 """
 
 from __future__ import annotations

@@ -28,6 +28,16 @@ def gini(r: DataFrame, n: int) -> DataFrame:
     return ranked.groupBy(KEYS).agg(((n + 1 - 2 * F.sum(F.col("r") * F.col("after")) / F.sum("r")) / n).alias("gini"))
 
 
+def total_variation_of(both: DataFrame) -> DataFrame:
+    """(source, tv) of two reachabilities side by side, (source, node, r0, r1)."""
+    return both.groupBy("source").agg((F.sum(F.abs(F.col("r0") - F.col("r1"))) / 2).alias("tv"))
+
+
+def hellinger_of(both: DataFrame) -> DataFrame:
+    """(source, hellinger) of two reachabilities side by side, (source, node, r0, r1)."""
+    return both.groupBy("source").agg(F.sqrt(F.greatest(F.lit(0.0), 1 - F.sum(F.sqrt(F.col("r0") * F.col("r1"))))).alias("hellinger"))
+
+
 def total_variation(a: DataFrame, b: DataFrame) -> DataFrame:
     """Half the summed difference of two reachabilities, by series and source."""
     signed = a.select(*KEYS, "node", "r").unionAll(b.select(*KEYS, "node", -F.col("r")))

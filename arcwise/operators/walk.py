@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..graph import Graph, sum_repeats, symmetrize
+from ..plans.tables import cut
 
 ORIENTATIONS = "OIFBUCSXAT"
 
@@ -72,27 +76,207 @@ def step(r: DataFrame, frame: DataFrame) -> DataFrame:
     return r.join(frame, r.node == frame.n_in).groupBy("source", F.col("n_out").alias("node")).agg(F.sum(F.col("r") * F.col("p")).alias("r"))
 
 
-def reachability(graph: Graph, sources: DataFrame, orientation: str, coefficients: Sequence[Sequence[float]], frames: dict[str, DataFrame] | None = None) -> DataFrame:
-    """(series, source, node, r): weighted walk mass from each source.
+#: Frame rows (12 bytes each) that the steps of a walk may share with every worker; larger graphs are walked by joins.
+SHARED_ROWS = 1 << 27
+#: Walk products of one block of sources, by joins and by shared frames, where pairs are shuffled after the walk.
+JOINED, SHARED = 100_000_000, 1_000_000_000
+#: Rows handed on at once by a worker.
+HANDED = 1 << 18
+
+Walk = tuple[str, Sequence[float]]
+
+
+def _stays(frame: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The frame with a row of no mass at every node that lets what has been gathered stay there."""
+    return frame.select("n_in", "n_out", "p", F.lit(0.0).alias("stay")).unionAll(nodes.select(F.col("id").alias("n_in"), F.col("id").alias("n_out"), F.lit(0.0).alias("p"), F.lit(1.0).alias("stay")))
+
+
+def walk_blocks(sources: DataFrame, frames: Sequence[DataFrame], rows: int, products: int) -> list[DataFrame]:
+    """sources(id) cut into blocks whose walks through frames make about that many products at most.
+
+    A source's products are counted exactly, by passing path counts back
+    through the frames, of at most so many rows; that costs one aggregation
+    of edges for each step.
+    """
+    if sources.count() * rows * len(frames) <= products:  # a step makes no more than sources times edges
+        return [sources]
+    ahead = None
+    for f in reversed(frames):
+        here = f.select(F.col("n_in").alias("id"), "n_out")
+        if ahead is None:
+            ahead = here.groupBy("id").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        else:
+            far = here.join(ahead.select(F.col("id").alias("n_out"), "c"), "n_out", "left")
+            ahead = far.groupBy("id").agg((F.count(F.lit(1)) + F.coalesce(F.sum("c"), F.lit(0.0))).alias("c"))
+    total = sources.join(ahead, "id").agg(F.sum("c")).first()[0] or 0.0
+    blocks = int(-(-total // products))
+    return [sources.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [sources]
+
+
+def by_blocks(blocks: Sequence[DataFrame], f: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """f of all blocks; several are written one after another, so that only one block's shuffles exist at a time."""
+    if len(blocks) == 1:
+        return f(blocks[0])
+    out = None
+    for b in blocks:
+        one = cut(f(b), "block")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def _symbols(walk: Walk) -> list[str]:
+    return pad_sequence(walk[0], len(walk[1]) - 1) if len(walk[1]) > 1 else []
+
+
+def _joined(nodes: DataFrame, sources: DataFrame, walks: Sequence[Walk], stays: dict[str, DataFrame]) -> DataFrame:
+    """The walks of walk_table by joins: a chain of steps for each sequence of symbols, which carries the weighted sums along."""
+    out = None
+    for orientation in dict.fromkeys(w[0] for w in walks):
+        mine = [(f"r{i}", c) for i, (o, c) in enumerate(walks) if o == orientation]
+        names = [a for a, _ in mine]
+        r = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("r"), *[F.lit(float(c[0])).alias(a) for a, c in mine])
+        for k, symbol in enumerate(_symbols((orientation, mine[0][1])), 1):
+            f = stays[symbol]
+            moved = r.join(f, r.node == f.n_in).groupBy("source", F.col("n_out").alias("node"))
+            r = moved.agg(F.sum(F.col("r") * F.col("p")).alias("r"), *[F.sum(F.col(a) * F.col("stay")).alias(a) for a in names])
+            r = r.select("source", "node", "r", *[(F.col(a) + float(c[k]) * F.col("r")).alias(a) for a, c in mine])
+        r = r.drop("r")
+        out = r if out is None else out.join(r, ["source", "node"], "full")
+    return out.na.fill(0.0, [f"r{i}" for i in range(len(walks))]).select("source", "node", *[f"r{i}" for i in range(len(walks))])
+
+
+def shared_frame(frame: DataFrame, names: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """first, to, p: the frame's rows by place of n_in among the sorted names. Fetched four million at a time, as one answer is bounded."""
+    found, parts = [], 1 + (rows >> 22)
+    for k in range(parts):
+        f = (frame if parts == 1 else frame.where(F.pmod(F.xxhash64("n_in"), F.lit(parts)) == k)).toPandas()
+        found.append((np.searchsorted(names, f["n_in"].to_numpy()).astype("i4"), np.searchsorted(names, f["n_out"].to_numpy()).astype("i4"), f["p"].to_numpy("f8")))
+    a, b, p = (np.concatenate(c) for c in zip(*found, strict=True))
+    del found
+    order = np.argsort(a, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(names)))]), b[order], p[order]
+
+
+def _gather(at: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sums of v by place, for the places with a sum."""
+    if len(at) > n // 64:
+        full = np.bincount(at, weights=v, minlength=n)
+        at = np.flatnonzero(full)
+        return at, full[at]
+    order = np.argsort(at, kind="stable")
+    at, v = at[order], v[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return at[first], np.add.reduceat(v, first) if len(first) else v
+
+
+def _walk_one(s: int, n: int, walks: Sequence[Walk], frames: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Places and, for each walk, masses of one source."""
+    places, masses = [], []
+    for orientation in dict.fromkeys(w[0] for w in walks):
+        mine = [(i, c) for i, (o, c) in enumerate(walks) if o == orientation]
+        at, x, steps = np.array([s]), np.ones(1), [(np.array([s]), np.ones(1))]
+        for symbol in _symbols((orientation, mine[0][1])):
+            first, to, p = frames[symbol]
+            many = first[at + 1] - first[at]
+            rows = np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            at, x = _gather(to[rows], np.repeat(x, many) * p[rows], n)
+            steps.append((at, x))
+        for i, c in mine:
+            at, x = _gather(np.concatenate([a for a, _ in steps]), np.concatenate([v * float(w) for (_, v), w in zip(steps, c, strict=True)]), n)
+            ok = x != 0
+            places.append((i, at[ok]))
+            masses.append(x[ok])
+    if len(walks) == 1:
+        return places[0][1], masses
+    every = np.unique(np.concatenate([a for _, a in places]))
+    out = [np.zeros(len(every)) for _ in walks]
+    for (i, a), x in zip(places, masses, strict=True):
+        out[i][np.searchsorted(every, a)] = x
+    return every, out
+
+
+def _walk_batches(batches, shared, walks: Sequence[Walk]):
+    """Arrow batches of sources to Arrow batches of (source, node, r0, r1, ...)."""
+    names, frames = shared.value
+    fields = ["source", "node", *(f"r{i}" for i in range(len(walks)))]
+    held, rows = [], 0
+
+    def hand():
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=fields)
+
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for s, name in zip(np.searchsorted(names, ids).tolist(), ids.tolist(), strict=True):
+            at, masses = _walk_one(s, len(names), walks, frames)
+            for k in range(0, len(at), HANDED):
+                some = slice(k, k + HANDED)
+                held.append([np.full(len(at[some]), name, "i8"), names[at[some]], *(m[some] for m in masses)])
+                rows += len(at[some])
+                if rows >= HANDED:
+                    yield hand()
+                    held, rows = [], 0
+    if held:
+        yield hand()
+
+
+def walk_table(graph: Graph, sources: DataFrame, walks: Sequence[Walk], then: Callable[[DataFrame], DataFrame] | None = None, shared_rows: int = SHARED_ROWS, products: int | None = None) -> DataFrame:
+    """(source, node, r0, r1, ...): weighted walk mass of each walk (orientation, c_0..c_order) from each source, where any is not zero.
+
+    A source is walked by one task over frames that all workers share, if
+    those have shared_rows rows at most; beyond that steps are joins, by
+    blocks of sources. Both give the same rows. then() takes whole sources
+    and is applied to one block of them at a time, so that a reduction never
+    needs all pairs at once. Sources are nodes of the graph.
+    """
+    frames = {s: cut(operator_frame(graph, s), "frame") for s in dict.fromkeys(s for w in walks for s in _symbols(w))}
+    through = max((_symbols(w) for w in walks), key=len)
+    through = [frames[s] for s in through]
+    r = [f"r{i}" for i in range(len(walks))]
+    any_ = " or ".join(f"{c} <> 0" for c in r)
+    done = then or (lambda x: x)
+    spark = graph.edges.sparkSession
+    rows = {s: f.count() for s, f in frames.items()}
+    most = max(rows.values(), default=0)
+    if sum(rows.values()) > shared_rows:
+        stays = {s: _stays(f, graph.nodes) for s, f in frames.items()}
+        return by_blocks(walk_blocks(sources, through, most, products or JOINED), lambda some: done(_joined(graph.nodes, some, walks, stays).where(any_)))
+    names = np.sort(graph.nodes.select("id").toPandas()["id"].to_numpy("i8"))  # no more than the frames' rows
+    shared = spark.sparkContext.broadcast((names, {s: shared_frame(f, names, rows[s]) for s, f in frames.items()}))  # at most shared_rows rows
+    plain = [(o, [float(x) for x in c]) for o, c in walks]
+    out = T.StructType([T.StructField("source", T.LongType()), T.StructField("node", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in r)])
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def walked(some: DataFrame) -> DataFrame:
+        dealt = some.select(F.col("id").cast("long").alias("id")).repartition(4 * tasks)  # hash-dealt, so that hubs' sources spread
+        return done(dealt.mapInArrow(lambda batches: _walk_batches(batches, shared, plain), out))
+
+    return by_blocks(walk_blocks(sources, through, most, products or SHARED) if then else [sources], walked)
+
+
+def _series(wide: DataFrame, n: int) -> DataFrame:
+    if n == 1:
+        return wide.select(F.lit(0).alias("series"), "source", "node", F.col("r0").alias("r"))
+    return wide.select("source", "node", F.posexplode(F.array(*[f"r{i}" for i in range(n)])).alias("series", "r")).where("r <> 0").select("series", "source", "node", "r")
+
+
+def reachability(
+    graph: Graph, sources: DataFrame, orientation: str, coefficients: Sequence[Sequence[float]], then: Callable[[DataFrame], DataFrame] | None = None, shared_rows: int = SHARED_ROWS, products: int | None = None
+) -> DataFrame:
+    """(series, source, node, r): weighted walk mass from each source, or then() of it.
 
     coefficients has one list c_0..c_order for each series; all series share
-    one chain of steps. frames caches operator frames by symbol.
+    one chain of steps.
     """
-    order = len(coefficients[0]) - 1
-    frames = {} if frames is None else frames
-    r = start(sources)
-    parts = [r.withColumn("k", F.lit(0))]
-    for k, symbol in enumerate(pad_sequence(orientation, order) if order else [], 1):
-        if symbol not in frames:
-            frames[symbol] = operator_frame(graph, symbol)
-        r = step(r, frames[symbol])
-        parts.append(r.withColumn("k", F.lit(k)))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    table = F.array(*[F.array(*map(F.lit, c)) for c in coefficients])
-    long = every.select("source", "node", F.posexplode(F.transform(table, lambda c: F.element_at(c, F.col("k") + 1) * F.col("r"))).alias("series", "v"))
-    return long.where("v <> 0").groupBy("series", "source", "node").agg(F.sum("v").alias("r"))
+    n = len(coefficients)
+    done = (lambda w: then(_series(w, n))) if then else None
+    wide = walk_table(graph, sources, [(orientation, c) for c in coefficients], done, shared_rows, products)
+    return wide if then else _series(wide, n)
+
+
+def compared(graph: Graph, sources: DataFrame, a: str, b: str, coefficients: Sequence[float], then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """then() of (source, node, r0, r1), the reachabilities of two orientations side by side."""
+    return walk_table(graph, sources, [(a, coefficients), (b, coefficients)], then)
 
 
 def propagate_features(graph: Graph, features: DataFrame, columns: list[str], orientation: str, coefficients: Sequence[float]) -> DataFrame:
@@ -102,16 +286,34 @@ def propagate_features(graph: Graph, features: DataFrame, columns: list[str], or
     each step.
     """
     order = len(coefficients) - 1
-    x = features.select("id", *[F.col(c).cast("double").alias(c) for c in columns])
-    parts = [x.select("id", *[(F.col(c) * coefficients[0]).alias(c) for c in columns])]
-    for k, symbol in enumerate(pad_sequence(orientation, order) if order else [], 1):
-        frame = operator_frame(graph, symbol)
-        x = x.join(frame, x.id == frame.n_in).groupBy(F.col("n_out").alias("id")).agg(*[F.sum(F.col(c) * F.col("p")).alias(c) for c in columns])
-        parts.append(x.select("id", *[(F.col(c) * coefficients[k]).alias(c) for c in columns]))
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionAll(p)
-    return every.groupBy("id").agg(*[F.sum(c).alias(c) for c in columns])
+    symbols = pad_sequence(orientation, order) if order else []
+    frames = {s: _stays(cut(operator_frame(graph, s), "frame"), graph.nodes) for s in dict.fromkeys(symbols)}
+    x = features.select("id", *[F.col(c).cast("double").alias(c) for c in columns], *[(F.col(c).cast("double") * coefficients[0]).alias(f"_sum_{c}") for c in columns])
+    for k, symbol in enumerate(symbols, 1):
+        frame = frames[symbol]
+        moved = x.join(frame, x.id == frame.n_in).groupBy(F.col("n_out").alias("id"))
+        x = moved.agg(*[F.sum(F.col(c) * F.col("p")).alias(c) for c in columns], *[F.sum(F.col(f"_sum_{c}") * F.col("stay")).alias(f"_sum_{c}") for c in columns])
+        x = x.select("id", *columns, *[(F.col(f"_sum_{c}") + float(coefficients[k]) * F.col(c)).alias(f"_sum_{c}") for c in columns])
+    return x.select("id", *[F.col(f"_sum_{c}").alias(c) for c in columns])
+
+
+def pull_features(graph: Graph, features: DataFrame, columns: list[str], orientation: str, coefficients: Sequence[float], frames: dict[str, DataFrame] | None = None) -> DataFrame:
+    """(id, columns): reachability times features(id, columns), without source pairs: each source sums what lies where its walks end.
+
+    Horner's rule from the last step back: x = c_k f + P_k+1 x. The other
+    product, of the transpose, is propagate_features.
+    """
+    symbols = pad_sequence(orientation, len(coefficients) - 1) if len(coefficients) > 1 else []
+    frames = {} if frames is None else frames
+    f = features.select("id", *[F.col(c).cast("double").alias(c) for c in columns])
+    x = f.select("id", *[(F.col(c) * float(coefficients[-1])).alias(c) for c in columns])
+    for k in range(len(symbols) - 1, -1, -1):
+        if symbols[k] not in frames:
+            frames[symbols[k]] = cut(operator_frame(graph, symbols[k]), "frame")
+        moved = frames[symbols[k]].join(x.withColumnRenamed("id", "n_out"), "n_out").select(F.col("n_in").alias("id"), *[(F.col(c) * F.col("p")).alias(c) for c in columns])
+        kept = f.select("id", *[(F.col(c) * float(coefficients[k])).alias(c) for c in columns])
+        x = moved.unionAll(kept).groupBy("id").agg(*[F.sum(c).alias(c) for c in columns])
+    return x
 
 
 def threshold_filter(r: DataFrame, theta: Column | float) -> DataFrame:
