@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph, drop_loops, flip, sum_repeats
-from ..plans.tables import cut
+from ..plans.tables import cut, discard
+from .number import numbered
+from .walk import reachability
 
 
 def neighbours(edges: DataFrame, directed: bool = False) -> DataFrame:
@@ -14,36 +18,64 @@ def neighbours(edges: DataFrame, directed: bool = False) -> DataFrame:
     return (pairs if directed else pairs.unionAll(flip(pairs))).distinct()
 
 
-def distances(graph: Graph, sources: DataFrame, directed: bool = False, limit: int = 1000) -> DataFrame:
-    """(source, node, d): breadth-first distances from sources(id); unreachable nodes are absent."""
-    near = cut(neighbours(graph.edges, directed))
-    seen = front = cut(sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(0).alias("d")))
-    for d in range(1, limit):
-        new = front.join(near, front.node == near.src).select("source", F.col("dst").alias("node")).distinct()
-        front = cut(new.join(seen, ["source", "node"], "left_anti").withColumn("d", F.lit(d)))
+#: Longs of one row of the breadth-first search; a block has 64 times as many sources.
+LANES = 16
+
+
+def distances(graph: Graph, sources: DataFrame, directed: bool = False, then: Callable[[DataFrame], DataFrame] = lambda new: new) -> DataFrame:
+    """(source, node, d): breadth-first distances from sources(id); unreachable nodes are absent.
+
+    Sources are numbered and searched 1,024 at a time by the bits of LANES
+    longs, so an edge is followed once for a block of sources at each depth.
+    A row is a node that a block has reached; each depth is written to the
+    shared folder. Blocks share the rounds, which go on until no bit is new.
+    then() may reduce the new pairs (source, node, d) of each depth.
+    """
+    near = cut(neighbours(graph.edges, directed).select(F.col("src").alias("n_in"), "dst", F.lit(0).alias("stay")).unionAll(graph.nodes.select("id", "id", F.lit(1))), "near")
+    places = cut(numbered(sources.select(F.col("id").alias("source")).distinct(), ["source"], "k").select("source", F.expr(f"k div {64 * LANES}").alias("block"), F.pmod("k", F.lit(64 * LANES)).alias("bit")), "places")
+    lanes = range(LANES)
+    bit = lambda i: F.when(F.expr(f"bit div 64 = {i}"), F.expr("shiftleft(1L, cast(bit % 64 as int))")).otherwise(F.lit(0).cast("long"))
+    at = places.select(F.col("source").alias("node"), "block", *[bit(i).alias(f"f{i}") for i in lanes]).groupBy("node", "block").agg(*[F.bit_or(f"f{i}").alias(f"f{i}") for i in lanes])
+    # f: bits that came in the last round; s: bits seen before it.
+    state = cut(at.select("*", *[F.lit(0).cast("long").alias(f"s{i}") for i in lanes]), "front")
+    found = then(places.select("source", F.col("source").alias("node"), F.lit(0).alias("d")))
+    d = 0
+    while True:
+        d += 1
+        moved = state.join(near, state.node == near.n_in)
+        f = [F.bit_or(F.when(F.col("stay") == 0, F.col(f"f{i}")).otherwise(0)).alias(f"f{i}") for i in lanes]
+        s = [F.bit_or(F.when(F.col("stay") == 1, F.col(f"f{i}").bitwiseOR(F.col(f"s{i}"))).otherwise(0)).alias(f"s{i}") for i in lanes]
+        met = moved.groupBy(F.col("dst").alias("node"), "block").agg(*f, *s)
+        old, state = state, cut(met.select("node", "block", *[F.expr(f"f{i} & ~s{i}").alias(f"f{i}") for i in lanes], *[f"s{i}" for i in lanes]), "front")
+        discard(old)
+        front = state.where(" or ".join(f"f{i} <> 0" for i in lanes))
         if front.isEmpty():
             break
-        seen = seen.unionAll(front)
-    return seen
+        lane = front.select("node", "block", F.posexplode(F.array(*[f"f{i}" for i in lanes])).alias("i", "f")).where("f <> 0")
+        bits = lane.select("node", "block", F.explode(F.expr("transform(filter(sequence(0, 63), k -> (shiftright(f, k) & 1) = 1), k -> 64 * i + k)")).alias("bit"))
+        new = bits.join(places, ["block", "bit"]).select("source", "node", F.lit(d).alias("d"))
+        found = found.unionAll(cut(then(new), "depth"))
+    return found
 
 
 def average_path_length(graph: Graph, sources: DataFrame) -> DataFrame:
     """mean and standard error by source of the distances that exist; a node's distance to itself counts as 0."""
-    per = distances(graph, sources).groupBy("source").agg(F.avg("d").alias("a"), F.sum("d").alias("s"), F.count(F.lit(1)).alias("c"))
+    counts = distances(graph, sources, then=lambda new: new.groupBy("source", "d").agg(F.count(F.lit(1)).alias("c")))
+    per = counts.groupBy("source").agg(F.sum(F.col("d") * F.col("c")).alias("s"), F.sum("c").alias("c")).withColumn("a", F.col("s") / F.col("c"))
     return per.agg((F.sum("s") / F.sum("c")).alias("mean"), (F.stddev_pop("a") / F.sqrt(F.count(F.lit(1)))).alias("error"))
 
 
 def harmonic_closeness(graph: Graph, sources: DataFrame, n: int, directed: bool = True) -> DataFrame:
     """(id, closeness): sum of 1/d over reached nodes, over n - 1."""
-    d = distances(graph, sources, directed)
-    return d.groupBy(F.col("source").alias("id")).agg((F.sum(F.when(F.col("d") > 0, 1.0 / F.col("d")).otherwise(0.0)) / (n - 1)).alias("closeness"))
+    counts = distances(graph, sources, directed, then=lambda new: new.groupBy("source", "d").agg(F.count(F.lit(1)).alias("c")))
+    return counts.groupBy(F.col("source").alias("id")).agg((F.sum(F.when(F.col("d") > 0, F.col("c") / F.col("d")).otherwise(0.0)) / (n - 1)).alias("closeness"))
 
 
-def weak_components(graph: Graph, limit: int = 200) -> DataFrame:
+def weak_components(graph: Graph) -> DataFrame:
     """(id, component): smallest id reachable regardless of direction, by label spreading with pointer jumps."""
     near = cut(neighbours(graph.edges))
     label = cut(graph.nodes.select("id", F.col("id").alias("c")))
-    for _ in range(limit):
+    while True:
         low = near.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("c").alias("m"))
         new = label.join(low, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("was"))
         jump = new.select(F.col("id").alias("c"), F.col("c").alias("cc"))
@@ -54,7 +86,7 @@ def weak_components(graph: Graph, limit: int = 200) -> DataFrame:
     return label.select("id", F.col("c").alias("component"))
 
 
-def strong_components(graph: Graph, limit: int = 200) -> DataFrame:
+def strong_components(graph: Graph) -> DataFrame:
     """(id, component): smallest id of each strongly connected component.
 
     Colouring: the smallest id that reaches a node is its colour; the nodes
@@ -64,7 +96,7 @@ def strong_components(graph: Graph, limit: int = 200) -> DataFrame:
     edges = cut(neighbours(graph.edges, True))
     nodes = cut(graph.nodes.select("id"))
     done = None
-    for _ in range(limit):
+    while True:
         if nodes.isEmpty():
             break
         colour = cut(nodes.withColumn("c", F.col("id")))
@@ -136,11 +168,6 @@ def spectral_radius(graph: Graph, iterations: int = 10) -> DataFrame:
 
 
 def katz(graph: Graph, sources: DataFrame, beta: float, terms: int = 4) -> DataFrame:
-    """(source, node, k): sum of beta^l times weighted walks of l = 1..terms steps."""
-    e = cut(sum_repeats(graph.edges))
-    r = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("r"))
-    every = None
-    for _ in range(terms):
-        r = r.join(e, r.node == e.src).groupBy("source", F.col("dst").alias("node")).agg((F.sum(F.col("r") * F.col("w")) * beta).alias("r"))
-        every = r if every is None else every.unionAll(r)
-    return every.groupBy("source", "node").agg(F.sum("r").alias("katz"))
+    """(source, node, katz): sum of beta^l times weighted walks of l = 1..terms steps."""
+    r = reachability(graph, sources, "A", [[0.0, *(beta**k for k in range(1, terms + 1))]])
+    return r.select("source", "node", F.col("r").alias("katz"))
