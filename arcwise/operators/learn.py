@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
+from ..plans.tables import cut, discard
+from .number import numbered
 from .sample import kfold
 
 
@@ -21,14 +23,14 @@ def _features(vectors: DataFrame) -> DataFrame:
 
 def kmeans_auto(vectors: DataFrame, ks: range = range(3, 7), seed: int = 4) -> DataFrame:
     """(id, cluster) for the k of largest silhouette."""
-    data = _features(vectors).cache()
+    data = cut(_features(vectors), "features")
     best = max(((ClusteringEvaluator().evaluate(p), k, p) for k in ks for p in [KMeans(k=k, seed=seed).fit(data).transform(data)]), key=lambda x: x[0])
     return best[2].select("id", F.col("prediction").alias("cluster"))
 
 
 def cross_validated(vectors: DataFrame, folds: int = 3, seed: int = 3) -> DataFrame:
     """(fold, accuracy) of logistic regression over vectors(id, emb, label), stratified folds."""
-    data = kfold(_features(vectors), folds, seed, "label").withColumn("label", F.col("label").cast("double")).cache()
+    data = cut(kfold(_features(vectors), folds, seed, "label").withColumn("label", F.col("label").cast("double")), "folds")
     rows = []
     for k in range(folds):
         model = LogisticRegression(maxIter=30, regParam=1e-3).fit(data.where(F.col("fold") != k))
@@ -37,45 +39,37 @@ def cross_validated(vectors: DataFrame, folds: int = 3, seed: int = 3) -> DataFr
     return vectors.sparkSession.createDataFrame(rows, "fold int, accuracy double")
 
 
-def _bound(f, *first):
-    """f(key, group) with its first arguments fixed."""
-    return lambda key, group: f(*first, key, group)
-
-
-def skip_gram(windows: DataFrame, nodes: DataFrame, dim: int = 16, epochs: int = 3, negatives: int = 3, rate: float = 0.05, seed: int = 2, parts: int = 4) -> DataFrame:
+def skip_gram(windows: DataFrame, nodes: DataFrame, dim: int = 16, epochs: int = 3, negatives: int = 3, rate: float = 0.5, seed: int = 2, batches: int = 2) -> DataFrame:
     """(id, emb): source and context vectors, [in, out], by negative sampling over windows(window).
 
-    Partitions train on their own windows from one start and are averaged
-    after every epoch, so an epoch is one aggregation over nodes and dims.
+    A window's first node is trained against the others. The state is a table
+    (id, u0.., v0..); a batch of windows is one pass: pairs meet both vectors
+    by joins, gradients are summed by node, each node moves by the mean of
+    its gradients times rate, and the state is written again. Nothing but
+    the number of nodes reaches the driver. Negative contexts are nodes drawn
+    by a hash of the window, the batch and a count; nodes no window has keep
+    their start.
     """
-    spark = windows.sparkSession
-    ids = np.array(sorted(r["id"] for r in nodes.select("id").collect()))
-    rng = np.random.default_rng(seed)
-    state = np.concatenate([(rng.random((len(ids), dim)) - 0.5) / dim, np.zeros((len(ids), dim))], axis=1)
-    data = windows.select(F.pmod(F.hash("window"), F.lit(parts)).alias("part"), "window").cache()
-    for epoch in range(epochs):
-        shared = spark.sparkContext.broadcast((ids, state))
-
-        def train(epoch, shared, key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-            names, start = shared.value
-            own = np.random.default_rng([seed, epoch, int(key[0])])
-            u, v = start[:, :dim].copy(), start[:, dim:].copy()
-            for w in sorted(map(tuple, group["window"])):
-                at = np.searchsorted(names, w)
-                a = at[0]
-                for b in at[1:]:
-                    other = own.integers(0, len(names), negatives)
-                    rows, y = np.append(other, b), np.append(np.zeros(negatives), 1.0)
-                    g = rate * (y - 1 / (1 + np.exp(-np.clip(v[rows] @ u[a], -30, 30))))
-                    step = g @ v[rows]
-                    np.add.at(v, rows, g[:, None] * u[a])
-                    u[a] += step
-            return pd.DataFrame({"id": names, "emb": list(np.concatenate([u, v], axis=1))})
-
-        long = data.groupBy("part").applyInPandas(_bound(train, epoch, shared), "id long, emb array<double>").select("id", F.posexplode("emb").alias("j", "x"))
-        mean = long.groupBy("id", "j").agg(F.avg("x").alias("x")).toPandas().sort_values(["id", "j"])
-        state = mean["x"].to_numpy().reshape(len(ids), 2 * dim)
-    return spark.createDataFrame(pd.DataFrame({"id": ids, "emb": list(state)}), "id long, emb array<double>")
+    dims = range(dim)
+    known = numbered(nodes.select("id").distinct(), ["id"], "k")
+    n = known.count()
+    u0 = [((F.pmod(F.xxhash64("id", F.lit(seed), F.lit(j)), F.lit(1 << 24)) / (1 << 24) - 0.5) / dim).alias(f"u{j}") for j in dims]
+    state = cut(known.select("id", "k", *u0, *[F.lit(0.0).alias(f"v{j}") for j in dims]), "vectors")
+    pairs = windows.select(F.xxhash64("window").alias("w"), F.element_at("window", 1).alias("id"), F.explode(F.expr("slice(window, 2, size(window))")).alias("other"))
+    pairs = cut(pairs.join(known.select(F.col("id").alias("other"), "k"), "other").select("w", "id", "k"), "pairs")
+    for step in range(epochs * batches):
+        some = pairs.where(F.pmod(F.col("w"), F.lit(batches)) == step % batches)
+        drawn = F.transform(F.sequence(F.lit(0), F.lit(negatives - 1)), lambda j: F.struct(F.pmod(F.xxhash64("w", "k", F.lit(seed + step), j), F.lit(n)).alias("k"), F.lit(0.0).alias("y")))
+        told = some.select("id", F.explode(F.concat(F.array(F.struct("k", F.lit(1.0).alias("y"))), drawn)).alias("t")).select("id", "t.k", "t.y")
+        met = told.join(state.select("id", *[f"u{j}" for j in dims]), "id").join(state.select("k", *[f"v{j}" for j in dims]), "k")
+        dot = sum((F.col(f"u{j}") * F.col(f"v{j}") for j in dims), F.lit(0.0))
+        met = met.withColumn("g", F.col("y") - 1 / (1 + F.exp(-dot)))
+        du = met.groupBy("id").agg(*[F.avg(F.col("g") * F.col(f"v{j}")).alias(f"du{j}") for j in dims])
+        dv = met.groupBy("k").agg(*[F.avg(F.col("g") * F.col(f"u{j}")).alias(f"dv{j}") for j in dims])
+        moved = state.join(du, "id", "left").join(dv, "k", "left").na.fill(0.0)
+        old, state = state, cut(moved.select("id", "k", *[(F.col(f"{c}{j}") + rate * F.col(f"d{c}{j}")).alias(f"{c}{j}") for c in "uv" for j in dims]), "vectors")
+        discard(old)
+    return state.select("id", F.array(*[f"{c}{j}" for c in "uv" for j in dims]).alias("emb"))
 
 
 def betweenness(graph: Graph, sources: DataFrame, parts: int = 16) -> DataFrame:
