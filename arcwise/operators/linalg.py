@@ -9,6 +9,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..graph import Graph
+from ..plans.tables import cut
+from .walk import propagate_features, pull_features
+
 
 def gram(vectors: DataFrame) -> np.ndarray:
     """X^T X of vectors(id, emb): partial products by Arrow batch, summed; d x d comes to the driver."""
@@ -92,6 +96,59 @@ def sketched_singular_values(reach: DataFrame, k: int, oversampling: int = 10, s
     return [float(math.sqrt(max(0.0, v))) for v in np.linalg.eigvalsh(root.T @ b @ root)[::-1][:k]]
 
 
+def walk_sketch(graph: Graph, orientation: str, coefficients: list[float], width: int, seed: int = 1) -> tuple[DataFrame, DataFrame, list[str]]:
+    """G = R Omega and H = R^T G of the reachability R of all nodes, as tables (id, x0..), and the columns' names.
+
+    R is never formed: both products pass width columns through the walk
+    operators, so the cost is edges times width for each step.
+    """
+    columns = [f"x{j}" for j in range(width)]
+
+    def rows(frames):
+        for f in frames:
+            o = omega(f["id"].to_numpy(), width, seed)
+            yield pd.DataFrame({"id": f["id"], **{c: o[:, j] for j, c in enumerate(columns)}})
+
+    o = cut(graph.nodes.select(F.col("id").cast("long").alias("id")).mapInPandas(rows, "id long, " + ", ".join(f"{c} double" for c in columns)), "omega")
+    g = cut(pull_features(graph, o, columns, orientation, coefficients), "sketch")
+    return g, cut(propagate_features(graph, g, columns, orientation, coefficients), "co-sketch"), columns
+
+
+def _right(a: np.ndarray, b: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the Gram matrices of G and H: the k largest singular values and the basis M T: G M T is U, and H M T is V S."""
+    values, vectors = np.linalg.eigh(a)
+    keep = values > max(values.max(), 0.0) * 1e-12
+    root = vectors[:, keep] / np.sqrt(values[keep])
+    s2, turn = np.linalg.eigh(root.T @ b @ root)
+    order = np.argsort(s2)[::-1][:k]
+    return np.sqrt(np.maximum(s2[order], 0.0)), root @ turn[:, order]
+
+
+def walk_singular_values(graph: Graph, orientation: str, coefficients: list[float], k: int, oversampling: int = 10, seed: int = 1) -> list[float]:
+    """Estimates of the k largest singular values of the reachability of all nodes; only width x width matrices reach the driver."""
+    g, h, columns = walk_sketch(graph, orientation, coefficients, k + oversampling, seed)
+    a, b = (gram(x.select(F.array(*columns).alias("emb"))) for x in (g, h))
+    return [float(v) for v in _right(a, b, k)[0]]
+
+
+def walk_embedding(graph: Graph, orientation: str, coefficients: list[float], k: int, oversampling: int = 10, seed: int = 1) -> DataFrame:
+    """(id, emb): [U sqrt(S), V sqrt(S)] of the reachability of all nodes, k of each side, by one pass of a random sketch.
+
+    G spans R's columns: Q = G M is orthonormal, and H M = R^T Q. With its
+    decomposition (eigenvectors T, values S), U = Q T and V = R^T Q T / S.
+    Signs make the largest entry of each column of M T positive.
+    """
+    g, h, columns = walk_sketch(graph, orientation, coefficients, k + oversampling, seed)
+    a, b = (gram(x.select(F.array(*columns).alias("emb"))) for x in (g, h))
+    s, turn = _right(a, b, k)
+    turn = turn * np.where(turn[np.abs(turn).argmax(0), np.arange(turn.shape[1])] < 0, -1.0, 1.0)
+    left, right = turn * np.sqrt(s), turn / np.sqrt(np.maximum(s, 1e-300))
+    times = lambda m: [sum((F.col(c) * float(m[i, j]) for i, c in enumerate(columns)), F.lit(0.0)) for j in range(m.shape[1])]
+    u = g.select("id", F.array(*times(left)).alias("u"))
+    v = h.select("id", F.array(*times(right)).alias("v"))
+    return u.join(v, "id").select("id", F.concat("u", "v").alias("emb"))
+
+
 def reg_inc_beta(x: np.ndarray, p: float, q: float, terms: int = 60) -> np.ndarray:
     """Regularised incomplete beta by the continued fraction, mirrored where that converges faster."""
     x = np.asarray(x, "f8")
