@@ -94,10 +94,19 @@ def spearman(values: DataFrame, a: str, b: str) -> DataFrame:
 
 def reconstruction(scores: DataFrame, edges: DataFrame, k: int) -> DataFrame:
     """micro and macro precision of each node's k best-scored others, scores(source, node, r), against edges."""
+    return precision_of(reconstruction_counts(scores, edges, k))
+
+
+def reconstruction_counts(scores: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+    """(source, h, c): how many of a node's k best-scored others, c of them, are edges."""
     w = Window.partitionBy("source").orderBy(F.col("r").desc(), "node")
     best = scores.where("source <> node").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     hit = best.join(edges.select(F.col("src").alias("source"), F.col("dst").alias("node"), F.lit(1.0).alias("hit")).distinct(), ["source", "node"], "left").na.fill(0.0)
-    per = hit.groupBy("source").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("c"))
+    return hit.groupBy("source").agg(F.sum("hit").alias("h"), F.count(F.lit(1)).alias("c"))
+
+
+def precision_of(per: DataFrame) -> DataFrame:
+    """One row micro, macro of (source, h, c)."""
     return per.agg((F.sum("h") / F.sum("c")).alias("micro"), F.avg(F.col("h") / F.col("c")).alias("macro"))
 
 

@@ -43,7 +43,8 @@ def part(s: SparkSession, d: str) -> G.Graph:
 
 
 def chosen(nodes: DataFrame) -> DataFrame:
-    return nodes.where("id % 97 = 0").select("id")
+    """The stated query set of searches from nodes: ids divisible by 20, against the whole graph."""
+    return nodes.where("id % 20 = 0").select("id")
 
 
 # ---- edges -----------------------------------------------------------------
@@ -185,13 +186,13 @@ for _name, _symbol in {"norm_out": "O", "norm_in": "I", "norm_forward": "F", "no
         return frame.select("n_in", "n_out", F.round("p", 9).alias("p"))  # many shares end in a five at the seventh place
 
 
-@query("walk_step", with_graph("part", "select n_in as source, n_out as node, round(sum(p),6) as r from p where n_in % 97 = 0 group by 1,2", frame_sql("O")))
+@query("walk_step", with_graph("part", "select n_in as source, n_out as node, round(sum(p),6) as r from p where n_in % 20 = 0 group by 1,2", frame_sql("O")))
 def _(s, d):
     g = part(s, d)
     return rounded(walk.step(walk.start(chosen(g.nodes)), walk.operator_frame(g, "O")))
 
 
-def reach_sql(orientation: str, coefficients: list[float], name: str = "r", sources: str = "id % 97 = 0") -> str:
+def reach_sql(orientation: str, coefficients: list[float], name: str = "r", sources: str = "id % 20 = 0") -> str:
     """CTEs that end in name(source, node, r)."""
     seq = walk.pad_sequence(orientation, len(coefficients) - 1)
     ctes = [frame_sql(c, f"p_{name}_{c}") for c in dict.fromkeys(seq)]
@@ -213,9 +214,9 @@ FAMILIES = {
 }
 
 
-def reach(s: SparkSession, d: str, orientation: str = "O", coefficients: list[float] = POISSON) -> DataFrame:
+def reach(s: SparkSession, d: str, orientation: str = "O", coefficients: list[float] = POISSON, then=None) -> DataFrame:
     g = part(s, d)
-    return walk.reachability(g, chosen(g.nodes), orientation, [coefficients])
+    return walk.reachability(g, chosen(g.nodes), orientation, [coefficients], then=then)
 
 
 for _name, _c in FAMILIES.items():
@@ -253,12 +254,14 @@ def _(s, d):
 @query("filter_threshold", with_graph("part", "select source,node,round(r,6) as r from r where r >= 1.0/sqrt(((select count(*) from n)+1.0)*((select count(*) from e)+1.0))", reach_sql("O", POISSON)))
 def _(s, d):
     g = part(s, d)
-    return rounded(walk.threshold_filter(reach(s, d), walk.default_theta(g.nodes.count(), g.edges.count())).drop("series"))
+    theta = walk.default_theta(g.nodes.count(), g.edges.count())
+    return rounded(reach(s, d, then=lambda r: walk.threshold_filter(r, theta)).drop("series"))
 
 
 @query("filter_log", with_graph("part", "select source,node,round(ln(greatest(r,1.0/c))+ln(c),6) as r from r, (select count(*)::double as c from n) where ln(greatest(r,1.0/c))+ln(c) <> 0", reach_sql("O", POISSON)))
 def _(s, d):
-    return rounded(walk.log_filter(reach(s, d), part(s, d).nodes.count()).drop("series"))
+    n = part(s, d).nodes.count()
+    return rounded(reach(s, d, then=lambda r: walk.log_filter(r, n)).drop("series"))
 
 
 # ---- reductions ------------------------------------------------------------
@@ -266,27 +269,35 @@ def _(s, d):
 N = "(select count(*) from n)"
 
 
-def reduced(name: str, sql: str, f, orientation: str = "O", more: str = ""):
-    @query(name, with_graph("part", sql, reach_sql(orientation, POISSON) + more))
+def reduced(name: str, sql: str, f):
+    @query(name, with_graph("part", sql, reach_sql("O", POISSON)))
+    def _(s, d):
+        n = part(s, d).nodes.count()
+        return rounded(reach(s, d, then=lambda r: f(r, n)).drop("series"))
+
+
+def distanced(name: str, sql: str, f):
+    @query(name, with_graph("part", sql, reach_sql("O", POISSON) + ", " + reach_sql("U", POISSON, "q")))
     def _(s, d):
-        return rounded(f(reach(s, d, orientation), part(s, d).nodes.count(), s, d).drop("series"))
+        g = part(s, d)
+        return rounded(walk.compared(g, chosen(g.nodes), "O", "U", POISSON, f))
 
 
-reduced("entropy", "select source, round(-sum(r*log2(r+1e-10)),6) as entropy from r group by 1", lambda r, n, s, d: reduce.entropy(r))
-reduced("coverage", f"select source, cast(count(*) filter (where r >= 1.0/{N}) as bigint) as coverage from r group by 1", lambda r, n, s, d: reduce.coverage(r, n))
-reduced("gini", f"select source, round(({N}+1-2*sum(r*(c-k+1))/sum(r))/{N},6) as gini from (select source, r, row_number() over (partition by source order by r, node) as k, count(*) over (partition by source) as c from r) group by 1", lambda r, n, s, d: reduce.gini(r, n))
-reduced("tv_distance", "select coalesce(a.source,b.source) as source, round(sum(abs(coalesce(a.r,0)-coalesce(b.r,0)))/2,6) as tv from r a full join q b on a.source=b.source and a.node=b.node group by 1", lambda r, n, s, d: reduce.total_variation(r, reach(s, d, "U")), more=", " + reach_sql("U", POISSON, "q"))
-reduced("hellinger", "select a.source as source, round(sqrt(greatest(0.0,1-sum(sqrt(a.r*b.r)))),6) as hellinger from r a join q b on a.source=b.source and a.node=b.node group by 1", lambda r, n, s, d: reduce.hellinger(r, reach(s, d, "U")), more=", " + reach_sql("U", POISSON, "q"))
-reduced("ecf", f"select source, j::bigint as j, round(({N}-count(*)+sum(cos(100.0*j/4*r)))/{N},6) as re, round(sum(sin(100.0*j/4*r))/{N},6) as im from r, range(1,5) t(j) group by 1,2", lambda r, n, s, d: reduce.characteristic(r, n))
-reduced("central_moments", f"select source, round(any_value(mu),6) as mean, " + ", ".join(f"round((sum(pow(r-mu,{m}))+({N}-count(*))*pow(-any_value(mu),{m}))/{N},6)+0.0 as m{m}" for m in (2, 3, 4)) + f" from (select source, r, sum(r) over (partition by source)/{N} as mu from r) group by 1", lambda r, n, s, d: reduce.central_moments(r, n))
-reduced("sorted_values", "select g.source, g.pos::bigint as pos, round(coalesce(k.r,0),6) as r from (select distinct source, pos from r, range(0,6) t(pos)) g left join (select source, r, row_number() over (partition by source order by (source=node)::int desc, r desc, node) - max((source=node)::int) over (partition by source) as pos from r) k on g.source=k.source and g.pos=k.pos", lambda r, n, s, d: reduce.sorted_values(r, 6))
+reduced("entropy", "select source, round(-sum(r*log2(r+1e-10)),6) as entropy from r group by 1", lambda r, n: reduce.entropy(r))
+reduced("coverage", f"select source, cast(count(*) filter (where r >= 1.0/{N}) as bigint) as coverage from r group by 1", lambda r, n: reduce.coverage(r, n))
+reduced("gini", f"select source, round(({N}+1-2*sum(r*(c-k+1))/sum(r))/{N},6) as gini from (select source, r, row_number() over (partition by source order by r, node) as k, count(*) over (partition by source) as c from r) group by 1", lambda r, n: reduce.gini(r, n))
+distanced("tv_distance", "select coalesce(a.source,b.source) as source, round(sum(abs(coalesce(a.r,0)-coalesce(b.r,0)))/2,6) as tv from r a full join q b on a.source=b.source and a.node=b.node group by 1", reduce.total_variation_of)
+distanced("hellinger", "select a.source as source, round(sqrt(greatest(0.0,1-sum(sqrt(a.r*b.r)))),6) as hellinger from r a join q b on a.source=b.source and a.node=b.node group by 1", reduce.hellinger_of)
+reduced("ecf", f"select source, j::bigint as j, round(({N}-count(*)+sum(cos(100.0*j/4*r)))/{N},6) as re, round(sum(sin(100.0*j/4*r))/{N},6) as im from r, range(1,5) t(j) group by 1,2", lambda r, n: reduce.characteristic(r, n))
+reduced("central_moments", f"select source, round(any_value(mu),6) as mean, " + ", ".join(f"round((sum(pow(r-mu,{m}))+({N}-count(*))*pow(-any_value(mu),{m}))/{N},6)+0.0 as m{m}" for m in (2, 3, 4)) + f" from (select source, r, sum(r) over (partition by source)/{N} as mu from r) group by 1", lambda r, n: reduce.central_moments(r, n))
+reduced("sorted_values", "select g.source, g.pos::bigint as pos, round(coalesce(k.r,0),6) as r from (select distinct source, pos from r, range(0,6) t(pos)) g left join (select source, r, row_number() over (partition by source order by (source=node)::int desc, r desc, node) - max((source=node)::int) over (partition by source) as pos from r) k on g.source=k.source and g.pos=k.pos", lambda r, n: reduce.sorted_values(r, 6))
 
 
 @query("dispersal", with_graph("part", f"select source, round(-sum(r*log2(r+1e-10)),6) as entropy, cast(count(*) filter (where r >= 1.0/{N}) as bigint) as coverage from r group by 1", reach_sql("OU", POISSON)))
 def dispersal(s, d):
-    r = reach(s, d, "OU")
     n = part(s, d).nodes.count()
-    return rounded(r.groupBy("source").agg((-F.sum(F.col("r") * F.log2(F.col("r") + 1e-10))).alias("entropy"), F.sum(F.when(F.col("r") >= 1.0 / n, 1).otherwise(0)).alias("coverage")))
+    spread = [(-F.sum(F.col("r") * F.log2(F.col("r") + 1e-10))).alias("entropy"), F.sum(F.when(F.col("r") >= 1.0 / n, 1).otherwise(0)).alias("coverage")]
+    return rounded(reach(s, d, "OU", then=lambda r: r.groupBy("source").agg(*spread)))
 
 
 # ---- structure -------------------------------------------------------------
@@ -398,10 +409,10 @@ def _(s, d):
     return rounded(structure.one_hop_homophily(part(s, d)))
 
 
-@query("twohop_homophily", with_graph("user", "select n.id, case when mind=1 then 'NaN'::double else round(coalesce(h,0.0),6) end as h2 from n left join (select src, avg((a.label=b.label)::int) as h from far join n a on src=a.id join n b on dst=b.id group by 1) t on n.id=t.src left join (select nb.src, min(c) as mind from nb join (select src, count(*) as c from nb group by 1) q on nb.dst=q.src group by 1) m on n.id=m.src", NEAR.replace("from e", "from (select * from e where (src*7+dst)%29=0)") + ", far as (select distinct x.src as src, y.dst as dst from nb x join nb y on x.dst=y.src where x.src<>y.dst and (x.src,y.dst) not in (select src,dst from nb))"))
+@query("twohop_homophily", with_graph("user", "select n.id, case when mind=1 then 'NaN'::double else round(coalesce(h,0.0),6) end as h2 from n left join (select src, avg((a.label=b.label)::int) as h from far join n a on src=a.id join n b on dst=b.id group by 1) t on n.id=t.src left join (select nb.src, min(c) as mind from nb join (select src, count(*) as c from nb group by 1) q on nb.dst=q.src group by 1) m on n.id=m.src", NEAR + ", far as (select distinct x.src as src, y.dst as dst from nb x join nb y on x.dst=y.src where x.src<>y.dst and (x.src,y.dst) not in (select src,dst from nb))"))
 def _(s, d):
     g = T.user_graph(s, d)
-    g = G.Graph(g.edges.where("(src * 7 + dst) % 29 = 0"), g.nodes.withColumn("label", F.col("id") % 3))
+    g = G.Graph(g.edges, g.nodes.withColumn("label", F.col("id") % 3))
     return structure.two_hop_homophily(g).withColumn("h2", F.round("h2", 6))
 
 

@@ -72,8 +72,8 @@ def register(query) -> None:
 
     @query("graph_reconstruction", with_graph("part", "select round(sum(h)*1.0/sum(c),6) as micro, round(avg(h*1.0/c),6) as macro from (select source, count(*) as c, sum((exists (select 1 from e where src=source and dst=node))::int) as h from (select *, row_number() over (partition by source order by r desc, node) as k from (select source,node,round(r,9) as r from r) where source<>node) where k<=5 group by 1)", reach_sql("O", POISSON)))
     def _(s, d):
-        r = reach(s, d).withColumn("r", F.round("r", 9))
-        return rounded(evaluate.reconstruction(r, part(s, d).edges, 5))
+        edges = part(s, d).edges
+        return rounded(evaluate.precision_of(reach(s, d, then=lambda r: evaluate.reconstruction_counts(r.withColumn("r", F.round("r", 9)), edges, 5))))
 
     dot = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: z[1]*z[2]))"
 
@@ -83,10 +83,10 @@ def register(query) -> None:
         p = v.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
         return rounded(evaluate.link_scores(p, v, v))
 
-    @query("edge_combiners", f"with {emb} select src, dst, (j-1)::bigint as j, round((p+q)/2,6) as average, round(p*q,6)+0.0 as hadamard, round(abs(p-q),6) as l1, round((p-q)*(p-q),6) as l2 from (select a.id as src, b.id as dst, j, a.x[j] as p, b.x[j] as q from v a join v b on b.id=a.id+1, range(1,65) t(j) where a.id%10=0)")
+    @query("edge_combiners", f"with {emb} select src, dst, (j-1)::bigint as j, round((p+q)/2,6) as average, round(p*q,6)+0.0 as hadamard, round(abs(p-q),6) as l1, round((p-q)*(p-q),6) as l2 from (select a.id as src, b.id as dst, j, a.x[j] as p, b.x[j] as q from v a join v b on b.id=a.id+1, range(1,65) t(j))")
     def _(s, d):
         v = vectors(s, d)
-        return rounded(evaluate.combine_edges(v.where("id % 10 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), v)).withColumn("average", F.round("average", 6) + 0.0)
+        return rounded(evaluate.combine_edges(v.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), v)).withColumn("average", F.round("average", 6) + 0.0)
 
     h = lambda a, b, seed: f"(({a})*7919+({b})*104729+{seed * 31337})%1000003"
     noise = f"rk as (select id, row_number() over (order by id)-1 as k from n), dr as (select {h('i', '1', 7)}%(select count(*) from n) as a, ({h('i', '2', 8)}*31+i)%(select count(*) from n) as b from range(0,2000) t(i)), cand as (select distinct x.id as src, y.id as dst from dr join rk x on a=x.k join rk y on b=y.k where x.id<>y.id)"
@@ -107,51 +107,53 @@ def register(query) -> None:
     def _(s, d):
         return rounded(sample.kfold(part(s, d).nodes.select("id", "label"), 5, strata="label"))
 
-    walk_sql = f"nx as (select src, list(dst order by dst) as nb from e group by 1), w0 as (select id as walk_id, [id] as walk from n where id%50=0)" + "".join(f", w{k} as (select walk_id, case when nb is not null and len(walk)={k} then list_append(walk, nb[{h('walk_id', 'walk[-1]', 5 + k)}%len(nb)+1]) else walk end as walk from w{k - 1} left join nx on src=walk[-1])" for k in range(1, 6))
+    walk_sql = f"nx as (select src, list(dst order by dst) as nb from e group by 1), w0 as (select id as walk_id, [id] as walk from n)" + "".join(f", w{k} as (select walk_id, case when nb is not null and len(walk)={k} then list_append(walk, nb[{h('walk_id', 'walk[-1]', 5 + k)}%len(nb)+1]) else walk end as walk from w{k - 1} left join nx on src=walk[-1])" for k in range(1, 6))
 
     @query("walk_windows", with_graph("part", "select walk_id, start::bigint as start, array_to_string(walk[start+1:start+3], ' ') as nodes from w5, range(0,4) t(start) where start+3 <= len(walk)", walk_sql))
     def _(s, d):
         g = part(s, d)
-        w = sample.context_windows(sample.random_walks(g, g.nodes.where("id % 50 = 0").select(F.col("id").alias("walk_id"), "id"), 5), 3)
+        w = sample.context_windows(sample.random_walks(g, g.nodes.select(F.col("id").alias("walk_id"), "id"), 5), 3)
         return w.select("walk_id", F.col("start").cast("long"), F.array_join(F.col("window").cast("array<string>"), " ").alias("nodes"))
 
-    # ---- fixpoints: a sparse graph, so that distances and components vary
+    # ---- fixpoints
 
-    def thin(s, d):
-        g = part(s, d)
-        return G.Graph(g.edges.where("w >= 50"), g.nodes.select("id"))
-
-    thin_sql = "t as (select * from e where w>=50), nb as (select src,dst from t union select dst,src from t)"
-    bfs = lambda rule, edges: f"bfs as (select id as source, id as node, 0 as d from n where {rule} union select source, dst, d+1 from bfs join {edges} on node=src where d < 40), ds as (select source, node, min(d) as d from bfs group by 1,2)"
+    near_edges = "nb as materialized (select src,dst from e union select dst,src from e)"
+    rounds = 12  # depths that the statements follow; the search itself goes on until nothing is new
 
-    def recursive(select: str, more: str) -> str:
-        return with_graph("part", select, more).replace("with ", "with recursive ", 1)
+    def bfs(edges: str) -> str:
+        """CTEs that end in ds(source, node, d)."""
+        ctes = ["f0 as materialized (select id as source, id as node, 0 as d from n where id%20=0)", "s0 as materialized (select * from f0)"]
+        for k in range(1, rounds + 1):
+            ctes.append(f"f{k} as materialized (select distinct source, dst as node, {k} as d from f{k - 1} join {edges} on node=src where (source, dst) not in (select source, node from s{k - 1}))")
+            ctes.append(f"s{k} as materialized (select * from s{k - 1} union all select * from f{k})")
+        return ", ".join([*ctes, f"ds as (select * from s{rounds})"])
 
-    @query("bfs_distance", recursive("select source, node, d::bigint as d from ds", thin_sql + ", " + bfs("id%97=0", "nb")))
+    @query("bfs_distance", with_graph("part", "select source, node, d::bigint as d from ds", near_edges + ", " + bfs("nb")))
     def _(s, d):
-        g = thin(s, d)
+        g = part(s, d)
         return rounded(iterate.distances(g, chosen(g.nodes)))
 
-    @query("avg_path_length", recursive("select round(sum(s)*1.0/sum(c),6) as mean, round(stddev_pop(a)/sqrt(count(*)),6) as error from (select source, avg(d) as a, sum(d) as s, count(*) as c from ds group by 1)", thin_sql + ", " + bfs("id%97=0", "nb")))
+    @query("avg_path_length", with_graph("part", "select round(sum(s)*1.0/sum(c),6) as mean, round(stddev_pop(a)/sqrt(count(*)),6) as error from (select source, avg(d) as a, sum(d) as s, count(*) as c from ds group by 1)", near_edges + ", " + bfs("nb")))
     def _(s, d):
-        g = thin(s, d)
+        g = part(s, d)
         return rounded(iterate.average_path_length(g, chosen(g.nodes)))
 
-    @query("harmonic_closeness", recursive("select source as id, round(sum(case when d>0 then 1.0/d else 0 end)/((select count(*) from n)-1),6) as closeness from ds group by 1", thin_sql + ", " + bfs("id%97=0", "t")))
+    @query("harmonic_closeness", with_graph("part", "select source as id, round(sum(case when d>0 then 1.0/d else 0 end)/((select count(*) from n)-1),6) as closeness from ds group by 1", bfs("e")))
     def _(s, d):
-        g = thin(s, d)
+        g = part(s, d)
         return rounded(iterate.harmonic_closeness(g, chosen(g.nodes), g.nodes.count()))
 
-    @query("weak_components", recursive("select id, min(c) as component from cc group by 1", thin_sql + ", cc as (select id, id as c from n union select dst, c from cc join nb on id=src)"))
+    lowest = "l0 as (select id, id as c from n)" + "".join(f", l{k} as materialized (select id, min(c) as c from (select id, c from l{k - 1} union all select dst, c from l{k - 1} join nb on id=src) group by 1)" for k in range(1, rounds + 1))
+
+    @query("weak_components", with_graph("part", f"select id, c as component from l{rounds}", near_edges + ", " + lowest))
     def _(s, d):
-        return iterate.weak_components(thin(s, d))
+        return iterate.weak_components(part(s, d))
 
-    user = "t as (select * from e where (src*7+dst)%29=0), rc as (select id as a, id as b from n union select a, dst from rc join t on b=src)"
+    reached = "rc as (select id as a, id as b from n union select a, dst from rc join e on b=src)"
 
-    @query("strong_components", with_graph("user", "select x.a as id, min(x.b) as component from rc x join rc y on x.a=y.b and x.b=y.a group by 1", user).replace("with ", "with recursive ", 1))
+    @query("strong_components", with_graph("user", "select x.a as id, min(x.b) as component from rc x join rc y on x.a=y.b and x.b=y.a group by 1", reached).replace("with ", "with recursive ", 1))
     def _(s, d):
-        g = T.user_graph(s, d)
-        return iterate.strong_components(G.Graph(g.edges.where("(src * 7 + dst) % 29 = 0"), g.nodes))
+        return iterate.strong_components(T.user_graph(s, d))
 
     rank = "tt as (select src, sum(w) as t from e group by 1), pp as (select e.src, dst, w/t as p from e join tt on e.src=tt.src), nn as (select count(*)::double as k from n), r0 as (select id, 1.0/k as r from n, nn)" + "".join(f", r{i} as (select n.id, (1-0.85)/k + 0.85*(coalesce(g,0)+(select coalesce(sum(r),0) from r{i - 1} where id not in (select src from tt))/k) as r from n cross join nn left join (select dst, sum(r*p) as g from r{i - 1} join pp on id=src group by 1) q on n.id=q.dst)" for i in range(1, 11))
 
@@ -172,7 +174,7 @@ def register(query) -> None:
     def _(s, d):
         return rounded(iterate.spectral_radius(T.supplier_graph(s, d)))
 
-    katz = "k0 as (select id as source, id as node, 1.0::double as r from n where id%97=0)" + "".join(f", k{i} as (select source, dst as node, sum(r*w)*0.001 as r from k{i - 1} join e on node=src group by 1,2)" for i in range(1, 5))
+    katz = "k0 as (select id as source, id as node, 1.0::double as r from n where id%20=0)" + "".join(f", k{i} as (select source, dst as node, sum(r*w)*0.001 as r from k{i - 1} join e on node=src group by 1,2)" for i in range(1, 5))
 
     @query("katz_truncated", with_graph("part", "select source, node, round(sum(r),6) as katz from (" + " union all ".join(f"select * from k{i}" for i in range(1, 5)) + ") group by 1,2", katz))
     def _(s, d):
@@ -204,8 +206,7 @@ def register(query) -> None:
     @query("filter_betainc")
     def _(s, d):
         g = part(s, d)
-        r = walk.reachability(g, g.nodes.select("id"), "O", [POISSON])
-        return rounded(linalg.betainc_filter(r, 0.5, 2.0).drop("series"))
+        return rounded(walk.reachability(g, chosen(g.nodes), "O", [POISSON], then=lambda r: linalg.betainc_filter(r, 0.5, 2.0)).drop("series"))
 
     @query("betweenness")
     def _(s, d):
@@ -223,8 +224,11 @@ def register(query) -> None:
     @query("rsvd_embedding")
     def _(s, d):
         g = T.supplier_graph(s, d)
-        r = walk.reachability(g, g.nodes.select("id"), "O", [POISSON]).drop("series")
-        return s.createDataFrame(list(enumerate(linalg.sketched_singular_values(r, 6))), "k int, value double")
+        return s.createDataFrame(list(enumerate(linalg.walk_singular_values(g, "O", POISSON, 6))), "k int, value double")
+
+    @query("walk_embedding")
+    def _(s, d):
+        return linalg.walk_embedding(part(s, d), "OU", POISSON, 8)
 
     @query("kmeans_auto_k")
     def _(s, d):
