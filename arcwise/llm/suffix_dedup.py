@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BIN, INT, LONG, STR, keep, schema
+from .common import BIN, INT, LONG, STR, discard, keep, schema, spent_shuffles_go
 
 WINDOW, KEY = 50, 24
 LEFT = WINDOW - KEY
@@ -127,9 +127,11 @@ def surroundings(text: np.ndarray, ends: np.ndarray, at: np.ndarray, doc: np.nda
 
 def valid_mask(around: np.ndarray) -> np.ndarray:
     """Bit o is set if the window o bytes before the anchor lies in the document."""
-    o = np.arange(LEFT + 1)
-    ok = (o <= around[:, -2:-1]) & (WINDOW - o <= around[:, -1:])
-    return (ok << o).sum(1).astype("u4")
+    left, right = around[:, -2], around[:, -1]
+    out = np.zeros(len(around), "u4")
+    for o in range(LEFT + 1):  # one position at a time: a matrix of all would be many times the entries
+        out |= ((left >= o) & (right >= WINDOW - o)).astype("u4") << np.uint32(o)
+    return out
 
 
 def make_chunks(docs: DataFrame, chunk_bytes: int = CHUNK) -> DataFrame:
@@ -233,11 +235,12 @@ def equal_groups(group: np.ndarray, digits: list[np.ndarray]) -> np.ndarray:
     alive, g = np.arange(len(group)), group
     out = np.full(len(group), -1, "int64")
     for k in range(len(digits) + 1):
-        order = np.argsort(g, kind="stable") if k == 0 else np.lexsort((digits[k - 1][alive], g))
+        d = digits[k - 1][alive].astype("u8") if k else None
+        order = np.argsort(g, kind="stable") if k == 0 else np.lexsort((d, g))
         alive, g = alive[order], g[order]
         new = np.diff(g, prepend=g[:1] - 1) != 0
         if k:
-            d = digits[k - 1][alive]
+            d = d[order]
             new[1:] |= d[1:] != d[:-1]
         g = np.cumsum(new)
         keep_ = np.bincount(g)[g] > 1
@@ -249,10 +252,13 @@ def equal_groups(group: np.ndarray, digits: list[np.ndarray]) -> np.ndarray:
 
 
 def _words(columns: np.ndarray) -> list[np.ndarray]:
-    """Bytes of each row as eight-byte digits."""
-    wide = np.zeros((len(columns), -(-columns.shape[1] // 8) * 8), "u1")
+    """Bytes of each row as eight-byte digits, views of one padded copy (or of the rows themselves where they need no padding)."""
+    width = -(-columns.shape[1] // 8) * 8
+    if width == columns.shape[1] and columns.flags["C_CONTIGUOUS"]:
+        return list(columns.view(">u8").T)
+    wide = np.zeros((len(columns), width), "u1")
     wide[:, : columns.shape[1]] = columns
-    return list(np.ascontiguousarray(wide).view(">u8").astype("u8").T)
+    return list(wide.view(">u8").T)
 
 
 def resolve(keys: np.ndarray, around: np.ndarray, docs: np.ndarray) -> np.ndarray:
@@ -319,7 +325,7 @@ def _entries(row, told: np.ndarray, n: int):
     around, owner = [surroundings(text, ends, at[pick], doc[pick])], [ids[doc[pick]]]
     pick = np.flatnonzero(level == 2)
     if len(pick):  # hot keys: every window is an entry of its own, dealt by its bytes
-        wide, valid = surroundings(text, ends, at[pick], doc[pick]), None
+        wide = surroundings(text, ends, at[pick], doc[pick])
         valid = valid_mask(wide)
         for o in range(LEFT + 1):
             ok = np.flatnonzero(valid >> np.uint32(o) & 1)
@@ -328,7 +334,7 @@ def _entries(row, told: np.ndarray, n: int):
             rows[:, -1] = WINDOW
             h = np.zeros(len(ok), "u8")
             for w in _words(rows[:, LEFT : LEFT + WINDOW]):
-                h = _mix(h + w)
+                h = _mix(h + w.astype("u8"))
             places.append(at[pick[ok]] - o)
             keys.append(h)
             around.append(rows)
@@ -336,7 +342,7 @@ def _entries(row, told: np.ndarray, n: int):
     places, keys, around, owner = map(np.concatenate, (places, keys, around, owner))
     h = keys.copy()
     for w in _words(around):
-        h = _mix(h + w)
+        h = _mix(h + w.astype("u8"))
     # Equal hashes here are taken for equal bytes only after comparing them.
     _, first, entry = np.unique(h, return_index=True, return_inverse=True)
     odd = np.flatnonzero((around != around[first[entry]]).any(1) | (keys != keys[first[entry]])) if len(h) else np.array([], "int64")
@@ -416,13 +422,15 @@ def dedup_strings(docs: DataFrame, texts: bool = False, chunk_bytes: int = CHUNK
     # Laid out by chunk, so that answers come to the texts and texts are never shuffled.
     name = f"arcwise_chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    make_chunks(docs, chunk_bytes).write.bucketBy(buckets, "chunk").format("parquet").saveAsTable(name)
+    with spent_shuffles_go(spark):
+        make_chunks(docs, chunk_bytes).write.bucketBy(buckets, "chunk").format("parquet").saveAsTable(name)
     chunks = spark.table(name)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     n = max(1, -(-size // bucket_bytes))
     told = keep(ask_keys(chunks, n).groupBy("bucket").applyInPandas(lambda g: _tell_keys(g, n, hot), TELL), "suffix-keys")
     entries = keep(chunks.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInPandas(lambda c, a: _ask_entries(c, a, n), ENTRY), "suffix-entries")
+    discard(told)
     masks = keep(entries.where("bucket >= 0").groupBy("bucket").applyInPandas(_resolve_bucket, TELL), "suffix-masks")
     own = entries.where("bucket < 0")
     answers = own.select(*ENTRY.names, F.lit(None).cast("binary").alias("told")).unionByName(masks.select("bucket", "chunk", *(F.lit(None).cast("binary").alias(c) for c in ("keys", "around", "docs")), "told"))
