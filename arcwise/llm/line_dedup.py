@@ -57,6 +57,17 @@ def _hashes(lines: DataFrame) -> Column:
     return F.array_distinct(_all_hashes(lines))
 
 
+#: Longs of a line's signature.
+SIGNATURE = 4
+
+
+def _signature(lines: DataFrame) -> Column:
+    """Number of distinct words n and a bit for each word in one of the longs s0, s1, ..."""
+    h = _hashes(lines)
+    lane = lambda k: F.aggregate(F.filter(h, lambda w: F.pmod(F.shiftright(w, 6), F.lit(SIGNATURE)) == k), F.lit(0).cast("long"), lambda s, w: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
+    return F.struct(F.size(h).alias("n"), *[lane(k).alias(f"s{k}") for k in range(SIGNATURE)])
+
+
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line of docs(doc_id, text); null texts have no lines."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -103,14 +114,18 @@ def prefix_rows(lines: DataFrame, levels: str, t: tuple[int, int]) -> DataFrame:
 
 
 def candidate_pairs(later: DataFrame, earlier: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b, apart) of lines as structs (doc_id, line_no), a earlier, that the bounds let through; apart counts unlike bits."""
+    """Pairs (a, b, apart) of lines as structs (doc_id, line_no), a earlier, that the bounds let through; apart counts unlike bits.
+
+    A similar pair comes at least from its first shared word: no word before
+    it is shared, so enough words must follow in both lines.
+    """
     a_, b_ = t
     need = f"(({a_} * (x.n + y.n) + {a_ + b_ - 1}) div {a_ + b_})"  # least number of shared words
     bounds = f"""
         x.word = y.word
         and struct(x.doc_id, x.line_no) < struct(y.doc_id, y.line_no)
         and {a_} * x.n <= {b_} * y.n and {a_} * y.n <= {b_} * x.n
-        and least(x.pos, y.pos) + least(x.n - x.pos, y.n - y.pos) >= {need}
+        and least(x.n - x.pos, y.n - y.pos) >= {need}
         and bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * {need}
     """
     pairs = earlier.alias("x").join(later.alias("y"), F.expr(bounds))
@@ -133,18 +148,17 @@ def _with_words(pairs: DataFrame, lines: DataFrame, words: Column) -> tuple[Data
 def verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int], sift: bool = False) -> DataFrame:
     """The later lines (doc_id, line_no) of those pairs (a, b) whose words are similar enough.
 
-    sift compares short hashes of the words first, which lets no similar pair
-    go, so that fewer words are moved.
+    sift compares 256-bit signatures first, which lets no similar pair go, so
+    that fewer words are moved: unlike bits are at most the unlike words.
     """
     a_, b_ = t
     near = f"{a_ + b_} * size(array_intersect(wa, wb)) >= {a_} * (size(wa) + size(wb))"
     pairs, spent = keep(pairs, "line-pairs"), []
     if sift:
-        # Hashes that clash within a line hide common words: as many as clash are granted.
-        both, told = _with_words(pairs, lines, F.transform(_words(lines), lambda w: F.hash(w)))
-        common = f"{a_ + b_} * (size(array_intersect(wa, wb)) + size(wa) - size(array_distinct(wa))) >= {a_} * (size(wa) + size(wb))"
+        both, told = _with_words(pairs, lines, _signature(lines))
+        apart = " + ".join(f"bit_count(wa.s{k} ^ wb.s{k})" for k in range(SIGNATURE))
         spent += [pairs, told]
-        pairs = keep(both.where(common).select("a", "b"), "line-pairs")
+        pairs = keep(both.where(f"{apart} <= wa.n + wb.n - 2 * (({a_} * (wa.n + wb.n) + {a_ + b_ - 1}) div {a_ + b_})").select("a", "b"), "line-pairs")
     both, told = _with_words(pairs, lines, _words(lines))
     out = keep(both.where(near).select("b.doc_id", "b.line_no").distinct(), "line-near")
     discard(*spent, pairs, told)
