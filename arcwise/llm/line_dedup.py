@@ -76,11 +76,10 @@ def split_lines(docs: DataFrame) -> DataFrame:
 def rarity_table(lines: DataFrame) -> str:
     """Level of each slot of word hashes, comma-separated: about twice the log2 of its words over all lines(line)."""
     slots = lines.select(F.explode(_all_hashes(lines)).alias("w"))
-    rows = slots.groupBy(F.pmod("w", F.lit(SLOTS)).alias("slot")).agg(F.least(F.floor(2 * F.log2(F.count(F.lit(1)).cast("double"))), F.lit(63)).cast("int").alias("level")).collect()
-    levels = ["0"] * SLOTS  # SLOTS rows at most
-    for r in rows:
-        levels[r["slot"]] = str(r["level"])
-    return ",".join(levels)
+    rows = slots.groupBy(F.pmod("w", F.lit(SLOTS)).alias("id")).agg(F.least(F.floor(2 * F.log2(F.count(F.lit(1)).cast("double"))), F.lit(63)).cast("int").alias("level"))
+    every = lines.sparkSession.range(SLOTS).join(rows, "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
+    # One short text for SLOTS slots: that many rows would take the driver a hundred megabytes.
+    return every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "level"))), lambda x: x["level"].cast("string")), ",")).first()[0]
 
 
 def prefix_rows(lines: DataFrame, levels: str, t: tuple[int, int]) -> DataFrame:
