@@ -72,14 +72,21 @@ def skip_gram(windows: DataFrame, nodes: DataFrame, dim: int = 16, epochs: int =
     return state.select("id", F.array(*[f"{c}{j}" for c in "uv" for j in dims]).alias("emb"))
 
 
+#: Edges (16 bytes each) that betweenness shares with every worker.
+SHARED_EDGES = 1 << 25
+
+
 def betweenness(graph: Graph, sources: DataFrame, parts: int = 16) -> DataFrame:
     """(id, betweenness): dependency sums of the sources' shortest-path trees, directed, not normalised.
 
     Sources are dealt to tasks, which share the adjacency as two integer
-    arrays; exact for the sources given. For graphs whose edge arrays fit a
-    worker: larger ones take fewer sources over `iterate.distances`.
+    arrays; exact for the sources given. For graphs of SHARED_EDGES edges at
+    most, which is checked; larger ones raise an error.
     """
-    edges = graph.edges.select("src", "dst").where("src <> dst").distinct().toPandas()
+    pairs = cut(graph.edges.select("src", "dst").where("src <> dst").distinct(), "pairs")
+    if pairs.count() > SHARED_EDGES:
+        raise ValueError(f"betweenness shares at most {SHARED_EDGES} edges with its workers")
+    edges = pairs.toPandas()
     names = np.unique(np.concatenate([edges["src"], edges["dst"]]))
     src, dst = np.searchsorted(names, edges["src"]), np.searchsorted(names, edges["dst"])
     order = np.argsort(src, kind="stable")
