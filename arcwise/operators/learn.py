@@ -76,7 +76,7 @@ def skip_gram(windows: DataFrame, nodes: DataFrame, dim: int = 16, epochs: int =
 SHARED_EDGES = 1 << 25
 
 
-def betweenness(graph: Graph, sources: DataFrame, parts: int = 16) -> DataFrame:
+def betweenness(graph: Graph, sources: DataFrame, parts: int | None = None) -> DataFrame:
     """(id, betweenness): dependency sums of the sources' shortest-path trees, directed, not normalised.
 
     Sources are dealt to tasks, which share the adjacency as two integer
@@ -86,34 +86,43 @@ def betweenness(graph: Graph, sources: DataFrame, parts: int = 16) -> DataFrame:
     pairs = cut(graph.edges.select("src", "dst").where("src <> dst").distinct(), "pairs")
     if pairs.count() > SHARED_EDGES:
         raise ValueError(f"betweenness shares at most {SHARED_EDGES} edges with its workers")
-    edges = pairs.toPandas()
-    names = np.unique(np.concatenate([edges["src"], edges["dst"]]))
-    src, dst = np.searchsorted(names, edges["src"]), np.searchsorted(names, edges["dst"])
+    edges = pairs.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).toArrow()  # whatever the session says of Arrow
+    src, dst = edges["src"].to_numpy(), edges["dst"].to_numpy()
+    names = np.unique(np.concatenate([src, dst]))
+    src, dst = np.searchsorted(names, src), np.searchsorted(names, dst)
     order = np.argsort(src, kind="stable")
-    shared = graph.edges.sparkSession.sparkContext.broadcast((names, np.searchsorted(src[order], np.arange(len(names) + 1)), dst[order]))
+    spark = graph.edges.sparkSession
+    shared = spark.sparkContext.broadcast((names, np.searchsorted(src[order], np.arange(len(names) + 1)), dst[order].astype("i4")))
+    parts = parts or 4 * spark.sparkContext.defaultParallelism
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         names, first, to = shared.value
-        n, total = len(names), np.zeros(len(names))
+        n = len(names)
+        total, seen, paths, gain = np.zeros(n), np.zeros(n, bool), np.zeros(n), np.zeros(n)
         for s in np.searchsorted(names, group["id"][group["id"].isin(names)]):
-            depth, paths = np.full(n, -1), np.zeros(n)
-            depth[s], paths[s], front, levels = 0, 1.0, np.array([s]), []
-            while len(front):
+            seen[s], paths[s], fronts, links = True, 1.0, [np.array([s])], []
+            while True:
+                front = fronts[-1]
                 count = first[front + 1] - first[front]
-                a = np.repeat(front, count)
                 b = to[np.repeat(first[front] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-                new = depth[b] < 0
-                depth[b[new]] = len(levels) + 1
-                ok = depth[b] == len(levels) + 1
-                np.add.at(paths, b[ok], paths[a[ok]])
-                levels.append((a[ok], b[ok]))
-                front = np.unique(b[new])
-            gain = np.zeros(n)
-            for a, b in reversed(levels):
-                np.add.at(gain, a, paths[a] / paths[b] * (1 + gain[b]))
+                new = ~seen[b]
+                b, at = b[new], np.repeat(np.arange(len(front)), count)[new]  # links to the next level, by place in this one
+                if not len(b):
+                    break
+                low = int(b.min())
+                sums = np.bincount(b - low, weights=paths[front][at])
+                front = np.flatnonzero(sums)
+                fronts.append(front + low)
+                links.append((at, b))
+                paths[front + low], seen[front + low] = sums[front], True
+            for front, (at, b) in zip(fronts[-2::-1], links[::-1], strict=True):
+                gain[front] = paths[front] * np.bincount(at, weights=(1 + gain[b]) / paths[b], minlength=len(front))
             gain[s] = 0
-            total += gain
-        return pd.DataFrame({"id": names, "betweenness": total})
+            for front in fronts:  # the arrays are cleared where this source wrote
+                total[front] += gain[front]
+                seen[front], gain[front] = False, 0.0
+        some = np.flatnonzero(total)
+        return pd.DataFrame({"id": names[some], "betweenness": total[some]})
 
     dealt = sources.select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("part"))
     per = dealt.groupBy("part").applyInPandas(run, "id long, betweenness double")

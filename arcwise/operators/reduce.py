@@ -6,12 +6,30 @@ nodes n and accounts for the zeros left out.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 KEYS = ["series", "source"]
 
 
+@dataclass(frozen=True)
+class Reduction:
+    """A reduction of whole sources, which a walk may take before any pair leaves its task.
+
+    of() gets the masses of one source that are not zero (side by side if two
+    walks are compared) and gives rows of fields, a DDL list; by() gives the
+    same from a table of all pairs, with the keys in front.
+    """
+
+    fields: str
+    of: Callable[..., Sequence[tuple]]
+    by: Callable[[DataFrame], DataFrame]
+
+
 def entropy(r: DataFrame) -> DataFrame:
     return r.groupBy(KEYS).agg((-F.sum(F.col("r") * F.log2(F.col("r") + 1e-10))).alias("entropy"))
 
@@ -75,3 +93,57 @@ def sorted_values(r: DataFrame, dim: int) -> DataFrame:
     ranked = rows.withColumn("pos", F.row_number().over(w) - own).where(F.col("pos") < dim)
     grid = r.select(KEYS).distinct().withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(dim - 1))))
     return grid.join(ranked.select(*KEYS, "pos", "r"), [*KEYS, "pos"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
+
+
+def _entropy(r: np.ndarray) -> float:
+    return float(-(r * np.log2(r + 1e-10)).sum())
+
+
+def _gini(r: np.ndarray, n: int) -> float:
+    r = np.sort(r)
+    return float((n + 1 - 2 * (r * np.arange(len(r), 0, -1)).sum() / r.sum()) / n)
+
+
+def _moments(r: np.ndarray, n: int, largest: int) -> tuple[float, ...]:
+    mean = r.sum() / n
+    return (float(mean), *(float((((r - mean) ** m).sum() + (n - len(r)) * (-mean) ** m) / n) for m in range(2, largest + 1)))
+
+
+def _characteristic(r: np.ndarray, n: int, dim: int, largest: float) -> list[tuple]:
+    ts = [(j, largest * j / (dim // 2)) for j in range(1, dim // 2 + 1)]
+    return [(j, float((n - len(r) + np.cos(t * r).sum()) / n), float(np.sin(t * r).sum() / n)) for j, t in ts]
+
+
+def entropy_reduction() -> Reduction:
+    return Reduction("entropy double", lambda r: [(_entropy(r),)], entropy)
+
+
+def coverage_reduction(n: int) -> Reduction:
+    return Reduction("coverage long", lambda r: [(int((r >= 1.0 / n).sum()),)], lambda r: coverage(r, n))
+
+
+def gini_reduction(n: int) -> Reduction:
+    return Reduction("gini double", lambda r: [(_gini(r, n),)], lambda r: gini(r, n))
+
+
+def dispersal_reduction(n: int) -> Reduction:
+    """entropy and coverage at once."""
+
+    def by(r: DataFrame) -> DataFrame:
+        return r.groupBy(KEYS).agg((-F.sum(F.col("r") * F.log2(F.col("r") + 1e-10))).alias("entropy"), F.sum(F.when(F.col("r") >= 1.0 / n, 1).otherwise(0)).alias("coverage"))
+
+    return Reduction("entropy double, coverage long", lambda r: [(_entropy(r), int((r >= 1.0 / n).sum()))], by)
+
+
+def characteristic_reduction(n: int, dim: int = 8, largest: float = 100.0) -> Reduction:
+    return Reduction("j long, re double, im double", lambda r: _characteristic(r, n, dim, largest), lambda r: characteristic(r, n, dim, largest))
+
+
+def moments_reduction(n: int, largest: int = 4) -> Reduction:
+    fields = ", ".join(f"{c} double" for c in ("mean", *(f"m{m}" for m in range(2, largest + 1))))
+    return Reduction(fields, lambda r: [_moments(r, n, largest)], lambda r: central_moments(r, n, largest))
+
+
+#: Distances of two reachabilities side by side.
+TOTAL_VARIATION = Reduction("tv double", lambda a, b: [(float(np.abs(a - b).sum() / 2),)], total_variation_of)
+HELLINGER = Reduction("hellinger double", lambda a, b: [(float(np.sqrt(max(0.0, 1 - np.sqrt(a * b).sum()))),)], hellinger_of)

@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..graph import Graph, sum_repeats, symmetrize
 from ..plans.tables import cut
+from .reduce import Reduction
 
 ORIENTATIONS = "OIFBUCSXAT"
 
@@ -149,27 +151,30 @@ def shared_frame(frame: DataFrame, names: np.ndarray, rows: int) -> tuple[np.nda
     """first, to, p: the frame's rows by place of n_in among the sorted names. Fetched four million at a time, as one answer is bounded."""
     found, parts = [], 1 + (rows >> 22)
     for k in range(parts):
-        f = (frame if parts == 1 else frame.where(F.pmod(F.xxhash64("n_in"), F.lit(parts)) == k)).toPandas()
-        found.append((np.searchsorted(names, f["n_in"].to_numpy()).astype("i4"), np.searchsorted(names, f["n_out"].to_numpy()).astype("i4"), f["p"].to_numpy("f8")))
+        f = (frame if parts == 1 else frame.where(F.pmod(F.xxhash64("n_in"), F.lit(parts)) == k)).toArrow()  # whatever the session says of Arrow
+        found.append((np.searchsorted(names, f["n_in"].to_numpy()).astype("i4"), np.searchsorted(names, f["n_out"].to_numpy()).astype("i4"), f["p"].to_numpy()))
     a, b, p = (np.concatenate(c) for c in zip(*found, strict=True))
     del found
     order = np.argsort(a, kind="stable")
     return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(names)))]), b[order], p[order]
 
 
-def _gather(at: np.ndarray, v: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _gather(at: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sums of v by place, for the places with a sum."""
-    if len(at) > n // 64:
-        full = np.bincount(at, weights=v, minlength=n)
+    if not len(at):
+        return at, v
+    low = int(at.min())
+    if len(at) > (int(at.max()) - low) // 64:  # places near each other are summed in an array of their range only
+        full = np.bincount(at - low, weights=v)
         at = np.flatnonzero(full)
-        return at, full[at]
+        return at + low, full[at]
     order = np.argsort(at, kind="stable")
     at, v = at[order], v[order]
     first = np.flatnonzero(np.diff(at, prepend=-1))
     return at[first], np.add.reduceat(v, first) if len(first) else v
 
 
-def _walk_one(s: int, n: int, walks: Sequence[Walk], frames: dict) -> tuple[np.ndarray, list[np.ndarray]]:
+def _walk_one(s: int, walks: Sequence[Walk], frames: dict) -> tuple[np.ndarray, list[np.ndarray]]:
     """Places and, for each walk, masses of one source."""
     places, masses = [], []
     for orientation in dict.fromkeys(w[0] for w in walks):
@@ -179,10 +184,10 @@ def _walk_one(s: int, n: int, walks: Sequence[Walk], frames: dict) -> tuple[np.n
             first, to, p = frames[symbol]
             many = first[at + 1] - first[at]
             rows = np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            at, x = _gather(to[rows], np.repeat(x, many) * p[rows], n)
+            at, x = _gather(to[rows], np.repeat(x, many) * p[rows])
             steps.append((at, x))
         for i, c in mine:
-            at, x = _gather(np.concatenate([a for a, _ in steps]), np.concatenate([v * float(w) for (_, v), w in zip(steps, c, strict=True)]), n)
+            at, x = _gather(np.concatenate([a for a, _ in steps]), np.concatenate([v * float(w) for (_, v), w in zip(steps, c, strict=True)]))
             ok = x != 0
             places.append((i, at[ok]))
             masses.append(x[ok])
@@ -208,7 +213,7 @@ def _walk_batches(batches, shared, walks: Sequence[Walk]):
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for s, name in zip(np.searchsorted(names, ids).tolist(), ids.tolist(), strict=True):
-            at, masses = _walk_one(s, len(names), walks, frames)
+            at, masses = _walk_one(s, walks, frames)
             for k in range(0, len(at), HANDED):
                 some = slice(k, k + HANDED)
                 held.append([np.full(len(at[some]), name, "i8"), names[at[some]], *(m[some] for m in masses)])
@@ -220,35 +225,57 @@ def _walk_batches(batches, shared, walks: Sequence[Walk]):
         yield hand()
 
 
-def walk_table(graph: Graph, sources: DataFrame, walks: Sequence[Walk], then: Callable[[DataFrame], DataFrame] | None = None, shared_rows: int = SHARED_ROWS, products: int | None = None) -> DataFrame:
+def _reduced_batches(batches, shared, walks: Sequence[Walk], of: Callable[..., Sequence[tuple]], fields: pa.Schema):
+    """Arrow batches of sources to Arrow batches of what of() makes of each one's masses."""
+    names, frames = shared.value
+    for batch in batches:
+        ids, rows = batch.column(0).to_numpy(zero_copy_only=False), []
+        for s, name in zip(np.searchsorted(names, ids).tolist(), ids.tolist(), strict=True):
+            at, masses = _walk_one(s, walks, frames)
+            if len(at):
+                rows += [(name, *row) for row in of(*masses)]
+        columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+
+
+def walk_table(graph: Graph, sources: DataFrame, walks: Sequence[Walk], then: Callable[[DataFrame], DataFrame] | Reduction | None = None, shared_rows: int = SHARED_ROWS, products: int | None = None) -> DataFrame:
     """(source, node, r0, r1, ...): weighted walk mass of each walk (orientation, c_0..c_order) from each source, where any is not zero.
 
     A source is walked by one task over frames that all workers share, if
     those have shared_rows rows at most; beyond that steps are joins, by
     blocks of sources. Both give the same rows. then() takes whole sources
     and is applied to one block of them at a time, so that a reduction never
-    needs all pairs at once. Sources are nodes of the graph.
+    needs all pairs at once; a Reduction is taken where a source is walked,
+    so that no pair leaves its task. Sources are nodes of the graph.
     """
     frames = {s: cut(operator_frame(graph, s), "frame") for s in dict.fromkeys(s for w in walks for s in _symbols(w))}
     through = max((_symbols(w) for w in walks), key=len)
     through = [frames[s] for s in through]
     r = [f"r{i}" for i in range(len(walks))]
     any_ = " or ".join(f"{c} <> 0" for c in r)
-    done = then or (lambda x: x)
+    done = then.by if isinstance(then, Reduction) else then or (lambda x: x)
     spark = graph.edges.sparkSession
     rows = {s: f.count() for s, f in frames.items()}
     most = max(rows.values(), default=0)
     if sum(rows.values()) > shared_rows:
         stays = {s: _stays(f, graph.nodes) for s, f in frames.items()}
         return by_blocks(walk_blocks(sources, through, most, products or JOINED), lambda some: done(_joined(graph.nodes, some, walks, stays).where(any_)))
-    names = np.sort(graph.nodes.select("id").toPandas()["id"].to_numpy("i8"))  # no more than the frames' rows
+    names = np.sort(graph.nodes.select(F.col("id").cast("long").alias("id")).toArrow()["id"].to_numpy())  # no more than the frames' rows
     shared = spark.sparkContext.broadcast((names, {s: shared_frame(f, names, rows[s]) for s, f in frames.items()}))  # at most shared_rows rows
     plain = [(o, [float(x) for x in c]) for o, c in walks]
     out = T.StructType([T.StructField("source", T.LongType()), T.StructField("node", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in r)])
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    def deal(some: DataFrame) -> DataFrame:
+        return some.select(F.col("id").cast("long").alias("id")).repartition(4 * tasks)  # hash-dealt, so that hubs' sources spread
+
+    if isinstance(then, Reduction):
+        of, fields = then.of, T.StructType.fromDDL(f"source long, {then.fields}")
+        arrow = to_arrow_schema(fields)
+        return deal(sources).mapInArrow(lambda batches: _reduced_batches(batches, shared, plain, of, arrow), fields)
+
     def walked(some: DataFrame) -> DataFrame:
-        dealt = some.select(F.col("id").cast("long").alias("id")).repartition(4 * tasks)  # hash-dealt, so that hubs' sources spread
+        dealt = deal(some)
         return done(dealt.mapInArrow(lambda batches: _walk_batches(batches, shared, plain), out))
 
     return by_blocks(walk_blocks(sources, through, most, products or SHARED) if then else [sources], walked)
@@ -261,7 +288,7 @@ def _series(wide: DataFrame, n: int) -> DataFrame:
 
 
 def reachability(
-    graph: Graph, sources: DataFrame, orientation: str, coefficients: Sequence[Sequence[float]], then: Callable[[DataFrame], DataFrame] | None = None, shared_rows: int = SHARED_ROWS, products: int | None = None
+    graph: Graph, sources: DataFrame, orientation: str, coefficients: Sequence[Sequence[float]], then: Callable[[DataFrame], DataFrame] | Reduction | None = None, shared_rows: int = SHARED_ROWS, products: int | None = None
 ) -> DataFrame:
     """(series, source, node, r): weighted walk mass from each source, or then() of it.
 
@@ -269,12 +296,17 @@ def reachability(
     one chain of steps.
     """
     n = len(coefficients)
+    if isinstance(then, Reduction):
+        of = then.of
+        names = ["series", "source", *T.StructType.fromDDL(then.fields).names]
+        done = Reduction(f"series int, {then.fields}", lambda *m: [(i, *row) for i, x in enumerate(m) if x.any() for row in of(x[x != 0])], lambda w: then.by(_series(w, n)).select(*names))
+        return walk_table(graph, sources, [(orientation, c) for c in coefficients], done, shared_rows, products).select(*names)
     done = (lambda w: then(_series(w, n))) if then else None
     wide = walk_table(graph, sources, [(orientation, c) for c in coefficients], done, shared_rows, products)
     return wide if then else _series(wide, n)
 
 
-def compared(graph: Graph, sources: DataFrame, a: str, b: str, coefficients: Sequence[float], then: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def compared(graph: Graph, sources: DataFrame, a: str, b: str, coefficients: Sequence[float], then: Callable[[DataFrame], DataFrame] | Reduction) -> DataFrame:
     """then() of (source, node, r0, r1), the reachabilities of two orientations side by side."""
     return walk_table(graph, sources, [(a, coefficients), (b, coefficients)], then)
 

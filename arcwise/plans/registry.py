@@ -273,7 +273,7 @@ def reduced(name: str, sql: str, f):
     @query(name, with_graph("part", sql, reach_sql("O", POISSON)))
     def _(s, d):
         n = part(s, d).nodes.count()
-        return rounded(reach(s, d, then=lambda r: f(r, n)).drop("series"))
+        return rounded(reach(s, d, then=f(n)).drop("series"))
 
 
 def distanced(name: str, sql: str, f):
@@ -283,21 +283,20 @@ def distanced(name: str, sql: str, f):
         return rounded(walk.compared(g, chosen(g.nodes), "O", "U", POISSON, f))
 
 
-reduced("entropy", "select source, round(-sum(r*log2(r+1e-10)),6) as entropy from r group by 1", lambda r, n: reduce.entropy(r))
-reduced("coverage", f"select source, cast(count(*) filter (where r >= 1.0/{N}) as bigint) as coverage from r group by 1", lambda r, n: reduce.coverage(r, n))
-reduced("gini", f"select source, round(({N}+1-2*sum(r*(c-k+1))/sum(r))/{N},6) as gini from (select source, r, row_number() over (partition by source order by r, node) as k, count(*) over (partition by source) as c from r) group by 1", lambda r, n: reduce.gini(r, n))
-distanced("tv_distance", "select coalesce(a.source,b.source) as source, round(sum(abs(coalesce(a.r,0)-coalesce(b.r,0)))/2,6) as tv from r a full join q b on a.source=b.source and a.node=b.node group by 1", reduce.total_variation_of)
-distanced("hellinger", "select a.source as source, round(sqrt(greatest(0.0,1-sum(sqrt(a.r*b.r)))),6) as hellinger from r a join q b on a.source=b.source and a.node=b.node group by 1", reduce.hellinger_of)
-reduced("ecf", f"select source, j::bigint as j, round(({N}-count(*)+sum(cos(100.0*j/4*r)))/{N},6) as re, round(sum(sin(100.0*j/4*r))/{N},6) as im from r, range(1,5) t(j) group by 1,2", lambda r, n: reduce.characteristic(r, n))
-reduced("central_moments", f"select source, round(any_value(mu),6) as mean, " + ", ".join(f"round((sum(pow(r-mu,{m}))+({N}-count(*))*pow(-any_value(mu),{m}))/{N},6)+0.0 as m{m}" for m in (2, 3, 4)) + f" from (select source, r, sum(r) over (partition by source)/{N} as mu from r) group by 1", lambda r, n: reduce.central_moments(r, n))
-reduced("sorted_values", "select g.source, g.pos::bigint as pos, round(coalesce(k.r,0),6) as r from (select distinct source, pos from r, range(0,6) t(pos)) g left join (select source, r, row_number() over (partition by source order by (source=node)::int desc, r desc, node) - max((source=node)::int) over (partition by source) as pos from r) k on g.source=k.source and g.pos=k.pos", lambda r, n: reduce.sorted_values(r, 6))
+reduced("entropy", "select source, round(-sum(r*log2(r+1e-10)),6) as entropy from r group by 1", lambda n: reduce.entropy_reduction())
+reduced("coverage", f"select source, cast(count(*) filter (where r >= 1.0/{N}) as bigint) as coverage from r group by 1", reduce.coverage_reduction)
+reduced("gini", f"select source, round(({N}+1-2*sum(r*(c-k+1))/sum(r))/{N},6) as gini from (select source, r, row_number() over (partition by source order by r, node) as k, count(*) over (partition by source) as c from r) group by 1", reduce.gini_reduction)
+distanced("tv_distance", "select coalesce(a.source,b.source) as source, round(sum(abs(coalesce(a.r,0)-coalesce(b.r,0)))/2,6) as tv from r a full join q b on a.source=b.source and a.node=b.node group by 1", reduce.TOTAL_VARIATION)
+distanced("hellinger", "select a.source as source, round(sqrt(greatest(0.0,1-sum(sqrt(a.r*b.r)))),6) as hellinger from r a join q b on a.source=b.source and a.node=b.node group by 1", reduce.HELLINGER)
+reduced("ecf", f"select source, j::bigint as j, round(({N}-count(*)+sum(cos(100.0*j/4*r)))/{N},6) as re, round(sum(sin(100.0*j/4*r))/{N},6) as im from r, range(1,5) t(j) group by 1,2", reduce.characteristic_reduction)
+reduced("central_moments", f"select source, round(any_value(mu),6) as mean, " + ", ".join(f"round((sum(pow(r-mu,{m}))+({N}-count(*))*pow(-any_value(mu),{m}))/{N},6)+0.0 as m{m}" for m in (2, 3, 4)) + f" from (select source, r, sum(r) over (partition by source)/{N} as mu from r) group by 1", reduce.moments_reduction)
+reduced("sorted_values", "select g.source, g.pos::bigint as pos, round(coalesce(k.r,0),6) as r from (select distinct source, pos from r, range(0,6) t(pos)) g left join (select source, r, row_number() over (partition by source order by (source=node)::int desc, r desc, node) - max((source=node)::int) over (partition by source) as pos from r) k on g.source=k.source and g.pos=k.pos", lambda n: lambda r: reduce.sorted_values(r, 6))
 
 
 @query("dispersal", with_graph("part", f"select source, round(-sum(r*log2(r+1e-10)),6) as entropy, cast(count(*) filter (where r >= 1.0/{N}) as bigint) as coverage from r group by 1", reach_sql("OU", POISSON)))
 def dispersal(s, d):
     n = part(s, d).nodes.count()
-    spread = [(-F.sum(F.col("r") * F.log2(F.col("r") + 1e-10))).alias("entropy"), F.sum(F.when(F.col("r") >= 1.0 / n, 1).otherwise(0)).alias("coverage")]
-    return rounded(reach(s, d, "OU", then=lambda r: r.groupBy("source").agg(*spread)))
+    return rounded(reach(s, d, "OU", then=reduce.dispersal_reduction(n)).drop("series"))
 
 
 # ---- structure -------------------------------------------------------------

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arcwise.graph import Graph
-from arcwise.operators import iterate, learn, linalg, sample, structure, walk
+from arcwise.operators import iterate, learn, linalg, reduce, sample, structure, walk
 from arcwise.operators.number import numbered
 
 
@@ -49,6 +49,20 @@ def test_shared_and_joined_walks_equal_dense(graph, shared, products):
         assert np.allclose(got, w)
 
 
+def test_reductions_in_the_walk_equal_those_of_tables(graph):
+    c, other, n = [0.4, 0.3, 0.2, 0.1], [0.0, 0.0, 0.5, 0.5], 32
+    sources = graph.nodes.select("id")
+    every = [reduce.entropy_reduction(), reduce.coverage_reduction(n), reduce.gini_reduction(n), reduce.dispersal_reduction(n), reduce.characteristic_reduction(n), reduce.moments_reduction(n)]
+    for r in every:
+        a, b = (sorted(map(tuple, walk.reachability(graph, sources, "OA", [c, other], r, shared_rows=k).collect())) for k in (walk.SHARED_ROWS, 0))
+        assert len(a) == len(b) > 32 and np.allclose(a, b)
+    for r in (reduce.TOTAL_VARIATION, reduce.HELLINGER):
+        a, b = (sorted(map(tuple, walk.walk_table(graph, sources, [("O", c), ("A", other)], r, k).collect())) for k in (walk.SHARED_ROWS, 0))
+        assert len(a) == 32 and np.allclose(a, b, atol=1e-6)
+    none = walk.reachability(graph, sources.where("id < 0"), "O", [c], every[0])
+    assert none.count() == 0 and none.columns == ["series", "source", "entropy"]
+
+
 def test_pulled_features_are_rows_of_reachability(graph):
     c = [0.5, 0.3, 0.2]
     f = graph.nodes.select("id", (F.col("id") / 7.0).alias("x"))
