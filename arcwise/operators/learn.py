@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -95,11 +97,11 @@ def betweenness(graph: Graph, sources: DataFrame, parts: int | None = None) -> D
     shared = spark.sparkContext.broadcast((names, np.searchsorted(src[order], np.arange(len(names) + 1)), dst[order].astype("i4")))
     parts = parts or 4 * spark.sparkContext.defaultParallelism
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, first, to = shared.value
         n = len(names)
         total, seen, paths, gain = np.zeros(n), np.zeros(n, bool), np.zeros(n), np.zeros(n)
-        for s in np.searchsorted(names, group["id"][group["id"].isin(names)]):
+        for s in (s for ids in batches for s in np.searchsorted(names, ids["id"][ids["id"].isin(names)])):
             seen[s], paths[s], fronts, links = True, 1.0, [np.array([s])], []
             while True:
                 front = fronts[-1]
@@ -122,9 +124,9 @@ def betweenness(graph: Graph, sources: DataFrame, parts: int | None = None) -> D
                 total[front] += gain[front]
                 seen[front], gain[front] = False, 0.0
         some = np.flatnonzero(total)
-        return pd.DataFrame({"id": names[some], "betweenness": total[some]})
+        yield pd.DataFrame({"id": names[some], "betweenness": total[some]})
 
-    dealt = sources.select("id", F.pmod(F.hash("id"), F.lit(parts)).alias("part"))
-    per = dealt.groupBy("part").applyInPandas(run, "id long, betweenness double")
+    # A stated number of partitions is not coalesced, however few bytes the sources have.
+    per = sources.select(F.col("id").cast("long").alias("id")).repartition(parts).mapInPandas(run, "id long, betweenness double")
     found = per.groupBy("id").agg(F.sum("betweenness").alias("betweenness"))
     return graph.nodes.select("id").join(found, "id", "left").na.fill(0.0)
