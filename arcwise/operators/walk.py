@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..graph import Graph, sum_repeats, symmetrize
-from ..plans.tables import cut
+from ..plans.tables import cut, discard
 from .reduce import Reduction
 
 ORIENTATIONS = "OIFBUCSXAT"
@@ -39,24 +39,25 @@ def _loops(nodes: DataFrame, *taken: DataFrame) -> DataFrame:
     return rest.select(F.col("id").alias("n_in"), F.col("id").alias("n_out"), F.lit(1.0).alias("p"))
 
 
-def operator_frame(graph: Graph, symbol: str) -> DataFrame:
+def operator_frame(graph: Graph, symbol: str, summed: bool = False) -> DataFrame:
     """Rows (n_in, n_out, p): a step moves mass p from n_in to n_out.
 
+    summed says that no edge repeats.
+
     O/B divide by the source's out-weight, F/I by the target's in-weight, B
     and I walk against the edges, U/C walk on summed symmetric edges, X/S
     divide by the root of both degrees; A/T are the raw edges. Nodes without
     the degree in question keep their mass by a loop, except in A and T.
     """
     if symbol in "UCS":
-        graph = graph.with_edges(symmetrize(graph.edges, "sum"))
+        graph, summed = graph.with_edges(symmetrize(graph.edges, "sum")), True
         symbol = {"U": "O", "C": "B", "S": "X"}[symbol]
-    e = graph.edges
+    e = graph.edges if summed else sum_repeats(graph.edges)
     swap = symbol in "BIT"
     a, b = (F.col("dst"), F.col("src")) if swap else (F.col("src"), F.col("dst"))
     ends = [a.alias("n_in"), b.alias("n_out")]
     if symbol in "AT":
-        return sum_repeats(e).select(*ends, F.col("w").alias("p"))
-    e = sum_repeats(e)
+        return e.select(*ends, F.col("w").alias("p"))
     out, into = _degrees(e)
     if symbol in "OB":
         return e.join(out, e.src == F.col("_s")).select(*ends, (F.col("w") / F.col("d_out")).alias("p")).unionAll(_loops(graph.nodes, out))
@@ -68,6 +69,18 @@ def operator_frame(graph: Graph, symbol: str) -> DataFrame:
     raise ValueError(symbol)
 
 
+def operator_frames(graph: Graph, symbols: Iterable[str]) -> dict[str, DataFrame]:
+    """The frames of several symbols, written. The edges are summed and written once if more than one pass reads them."""
+    symbols = list(dict.fromkeys(symbols))
+    once = len(symbols) > 1 or any(s not in "AT" for s in symbols)
+    if once:
+        graph = graph.with_edges(cut(sum_repeats(graph.edges), "edges"))
+    frames = {s: cut(operator_frame(graph, s, once), "frame") for s in symbols}
+    if once:
+        discard(graph.edges)
+    return frames
+
+
 def start(sources: DataFrame) -> DataFrame:
     """Unit mass at each source: (source, node, r)."""
     return sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.lit(1.0).alias("r"))
@@ -248,7 +261,7 @@ def walk_table(graph: Graph, sources: DataFrame, walks: Sequence[Walk], then: Ca
     needs all pairs at once; a Reduction is taken where a source is walked,
     so that no pair leaves its task. Sources are nodes of the graph.
     """
-    frames = {s: cut(operator_frame(graph, s), "frame") for s in dict.fromkeys(s for w in walks for s in _symbols(w))}
+    frames = operator_frames(graph, (s for w in walks for s in _symbols(w)))
     through = max((_symbols(w) for w in walks), key=len)
     through = [frames[s] for s in through]
     r = [f"r{i}" for i in range(len(walks))]
@@ -319,7 +332,7 @@ def propagate_features(graph: Graph, features: DataFrame, columns: list[str], or
     """
     order = len(coefficients) - 1
     symbols = pad_sequence(orientation, order) if order else []
-    frames = {s: _stays(cut(operator_frame(graph, s), "frame"), graph.nodes) for s in dict.fromkeys(symbols)}
+    frames = {s: _stays(f, graph.nodes) for s, f in operator_frames(graph, symbols).items()}
     x = features.select("id", *[F.col(c).cast("double").alias(c) for c in columns], *[(F.col(c).cast("double") * coefficients[0]).alias(f"_sum_{c}") for c in columns])
     for k, symbol in enumerate(symbols, 1):
         frame = frames[symbol]
@@ -337,11 +350,10 @@ def pull_features(graph: Graph, features: DataFrame, columns: list[str], orienta
     """
     symbols = pad_sequence(orientation, len(coefficients) - 1) if len(coefficients) > 1 else []
     frames = {} if frames is None else frames
+    frames |= operator_frames(graph, (s for s in symbols if s not in frames))
     f = features.select("id", *[F.col(c).cast("double").alias(c) for c in columns])
     x = f.select("id", *[(F.col(c) * float(coefficients[-1])).alias(c) for c in columns])
     for k in range(len(symbols) - 1, -1, -1):
-        if symbols[k] not in frames:
-            frames[symbols[k]] = cut(operator_frame(graph, symbols[k]), "frame")
         moved = frames[symbols[k]].join(x.withColumnRenamed("id", "n_out"), "n_out").select(F.col("n_in").alias("id"), *[(F.col(c) * F.col("p")).alias(c) for c in columns])
         kept = f.select("id", *[(F.col(c) * float(coefficients[k])).alias(c) for c in columns])
         x = moved.unionAll(kept).groupBy("id").agg(*[F.sum(c).alias(c) for c in columns])
