@@ -1,9 +1,10 @@
 """Embedding near-dedup by lattice hashing.
 
-Each table projects the unit vectors to eight random directions (or several
-times eight), scales them, and decodes every eight numbers to the nearest
-point of the E8 lattice. A vector lives in its cell and also visits the
-neighbouring cells whose points are next nearest. Vectors that meet are
+Each table projects the unit vectors to eight random directions, scales them,
+and decodes the eight numbers to the nearest point of the E8 lattice. A vector
+lives in its cell and also visits the neighbouring cells whose points are next
+nearest. Cells are the same whatever the size of the input, so a pair that is
+found among few vectors is found among many. Vectors that meet are
 verified by cosine in double precision, so no link below the threshold is
 made. A pair is counted in the first table and cell in which it meets, hence
 no pairs leave a task: only link counts and a spanning forest.
@@ -22,10 +23,10 @@ from pyspark.sql import functions as F
 from .common import BIN, BOOL, INT, LONG, components, keep, merge_links, schema
 
 THRESHOLD = 0.9
-#: Tables, neighbouring cells visited for each block of eight, and vectors from which a second block is used.
-TABLES, PROBES, SEED, TWO_BLOCKS = 8, 2, 20_240, 2_000_000
-#: Width of a cell, in standard deviations of a projected unit vector, for one and two blocks.
-WIDTHS = {1: 2.0, 2: 2.4}
+#: Tables, and neighbouring cells visited.
+TABLES, PROBES, SEED = 8, 2, 20_240
+#: Width of a cell, in standard deviations of a projected unit vector.
+WIDTH = 2.0
 #: Rows held at once and the sides of a block of cosines.
 ROWS, SIDE = 20_000, 1024
 
@@ -63,9 +64,9 @@ def neighbours() -> np.ndarray:
 
 
 @functools.cache
-def _table(dim: int, table: int, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng([SEED, dim, table, blocks])
-    return rng.standard_normal((dim, 8 * blocks)), rng.uniform(0, 2, 8 * blocks)
+def _table(dim: int, table: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng([SEED, dim, table, 1])
+    return rng.standard_normal((dim, 8)), rng.uniform(0, 2, 8)
 
 
 def _hash(points: np.ndarray, salt: int) -> np.ndarray:
@@ -76,19 +77,15 @@ def _hash(points: np.ndarray, salt: int) -> np.ndarray:
     return h.view("i8")
 
 
-def cells(unit: np.ndarray, table: int, blocks: int, probes: int) -> np.ndarray:
+def cells(unit: np.ndarray, table: int, probes: int) -> np.ndarray:
     """Hashes of a table's cells: column 0 the own one, then those visited."""
-    direction, shift = _table(unit.shape[1], table, blocks)
-    x = unit @ direction / WIDTHS[blocks] + shift
-    choices = []
-    for k in range(blocks):
-        part = x[:, 8 * k : 8 * k + 8]
-        own = decode_e8(part)
-        off = -((part - own / 2) @ neighbours().T)  # the nearer a neighbour, the smaller
-        near = np.argpartition(off, probes, axis=1)[:, :probes] if probes else np.zeros((len(x), 0), "int64")
-        choices.append(np.concatenate([own[:, None], own[:, None] + neighbours()[near]], axis=1))
-    combos = itertools.product(range(probes + 1), repeat=blocks)
-    return np.stack([_hash(np.concatenate([choices[k][:, c] for k, c in enumerate(combo)], axis=1), unit.shape[1] * 1000 + table) for combo in combos], axis=1)
+    direction, shift = _table(unit.shape[1], table)
+    x = unit @ direction / WIDTH + shift
+    own = decode_e8(x)
+    off = -((x - own / 2) @ neighbours().T)  # the nearer a neighbour, the smaller
+    near = np.argpartition(off, probes, axis=1)[:, :probes] if probes else np.zeros((len(x), 0), "int64")
+    points = np.concatenate([own[:, None], own[:, None] + neighbours()[near]], axis=1)
+    return np.stack([_hash(points[:, c], unit.shape[1] * 1000 + table) for c in range(probes + 1)], axis=1)
 
 
 def unit_rows(vectors: np.ndarray) -> np.ndarray:
@@ -101,11 +98,12 @@ def unit_rows(vectors: np.ndarray) -> np.ndarray:
 class _Meetings:
     """Link counts and forest edges of sorted placed rows, one dimension at a time."""
 
-    def __init__(self, threshold: float, tables: int, blocks: int, probes: int):
-        self.threshold, self.tables, self.blocks, self.probes = threshold, tables, blocks, probes
+    def __init__(self, threshold: float, tables: int, probes: int):
+        self.threshold, self.tables, self.probes = threshold, tables, probes
 
     def __call__(self, table, cell, guest, ids, copies, vecs):
         unit = unit_rows(np.frombuffer(b"".join(vecs), "<f8").reshape(len(vecs), -1))
+        rough, slack = unit.astype("f4"), unit.shape[1] * 1e-6  # more than single precision errs; what passes is verified in double
         starts = np.flatnonzero(np.diff(cell, prepend=cell[:1] - 1) | np.diff(table, prepend=table[:1] - 1))
         left, right = [], []
         for a, b in itertools.pairwise([*starts.tolist(), len(cell)]):
@@ -114,7 +112,7 @@ class _Meetings:
                 top = min(i + SIDE, homes)
                 for j in range(i, b, 4 * SIDE):
                     end = min(j + 4 * SIDE, b)
-                    x, y = np.nonzero(unit[i:top] @ unit[j:end].T >= self.threshold - 1e-9)
+                    x, y = np.nonzero(rough[i:top] @ rough[j:end].T >= np.float32(self.threshold - slack))
                     x, y = x + i, y + j
                     ok = y > x
                     left.append(x[ok])
@@ -128,7 +126,7 @@ class _Meetings:
             return None
         # Count a pair only where it meets first.
         who, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-        keys = [cells(unit[who], t, self.blocks, self.probes) for t in range(self.tables)]
+        keys = [cells(unit[who], t, self.probes) for t in range(self.tables)]
         p, q = at[: len(x)], at[len(x) :]
         first = np.ones(len(x), bool)
         for t in range(self.tables):
@@ -142,13 +140,12 @@ class _Meetings:
         return ids[x], ids[y], copies[x], copies[y]
 
 
-def link_vectors(reps: DataFrame, n: int, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def link_vectors(reps: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
     """Rows (a, b, n) of distinct vectors reps(vec_id, copies, embedding).
 
     With b null: n more vectors that a links with. Otherwise an edge of the
     forest that connects what links.
     """
-    blocks = 1 if n < TWO_BLOCKS else 2
 
     def place(batches):
         for batch in batches:
@@ -163,13 +160,13 @@ def link_vectors(reps: DataFrame, n: int, threshold: float = THRESHOLD, tables:
                 unit = unit_rows(vectors)
                 raw = pa.array([v.tobytes() for v in vectors], pa.binary())
                 for t in range(tables):
-                    keys = cells(unit, t, blocks, probes)
+                    keys = cells(unit, t, probes)
                     for c in range(keys.shape[1]):
                         columns = (np.full(len(rows), t, "i4"), keys[:, c], np.full(len(rows), c > 0), ids[rows], copies[rows])
                         yield pa.RecordBatch.from_arrays([*map(pa.array, columns), raw], names=PLACED.names)
 
     def compare(batches):
-        meet, held, count = _Meetings(threshold, tables, blocks, probes), [], 0
+        meet, held, count = _Meetings(threshold, tables, probes), [], 0
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
                 held.append(batch)
@@ -223,7 +220,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD, tables: in
     # A repeated vec_id may stand for several vectors: number the representatives apart.
     clash = reps.groupBy("rep").count().where("count > 1").isEmpty()
     reps = reps.withColumn("vec_id", F.col("rep") if clash else F.xxhash64("rep", "embedding"))
-    found = keep(link_vectors(reps, reps.count(), threshold, tables, probes), "lattice-links")
+    found = keep(link_vectors(reps, threshold, tables, probes), "lattice-links")
     counts = found.where("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     comp = components(found.where("b is not null").select("a", "b"))
     named = reps.select("vec_id", "rep", "copies", "embedding").join(counts.withColumnRenamed("a", "vec_id"), "vec_id", "left")
