@@ -20,6 +20,7 @@ that one line alone has are dropped before lines meet.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -175,16 +176,21 @@ def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words:
     return later_lines(split_lines(docs).where(F.regexp_count("line", F.lit(WORD)) >= least_words), t)
 
 
-def later_lines(rows: DataFrame, t: tuple[int, int] = SIMILARITY) -> DataFrame:
+def later_lines(rows: DataFrame, t: tuple[int, int] = SIMILARITY, met: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The rows of (doc_id, line_no, line) that an earlier one resembles: (doc_id, line_no), each once.
 
-    line is a text with words or an array of distinct hashes with at least one.
+    line is a text with words or an array of distinct hashes with at least
+    one. met() may name pairs (a, b) of structs (doc_id, line_no), a earlier,
+    of the distinct lines it gets, without line but with the rows' other
+    columns. They are verified first; the join then looks for copies of the
+    lines that are left.
     """
     spark = rows.sparkSession
-    every = keep(rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2")), "line-hashes")
-    firsts = keep(every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")), "line-firsts")
+    more = [c for c in rows.columns if c not in ("doc_id", "line_no", "line")]
+    every = keep(rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), *more), "line-hashes")
+    firsts = keep(every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", *more)).alias("first")).select("h1", "h2", F.struct("first.doc_id", "first.line_no").alias("first"), *[f"first.{c}" for c in more]), "line-firsts")
     # First lines with their texts, laid out by place so that looking them up again moves no text.
-    lines = rows.join(firsts.select("first.doc_id", "first.line_no"), ["doc_id", "line_no"])
+    lines = rows.drop(*more).join(firsts.select("first.doc_id", "first.line_no"), ["doc_id", "line_no"])
     name = f"arcwise_lines_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     with spent_shuffles_go(spark):
@@ -194,18 +200,23 @@ def later_lines(rows: DataFrame, t: tuple[int, int] = SIMILARITY) -> DataFrame:
     with spent_shuffles_go(spark):
         prefix_rows(lines, rarity_table(lines), t).write.bucketBy(buckets, "word").option("compression", "zstd").format("parquet").saveAsTable(f"{name}_prefixes")
     prefixes = spark.table(f"{name}_prefixes")
-    near = verified(nearest_only(prefixes.where("hub is not null").select(F.struct("hub.doc_id", "hub.line_no").alias("a"), F.struct("doc_id", "line_no").alias("b"), "hub.apart")), lines, t)
+    hubs = prefixes.where("hub is not null")
+    known = verified(met(firsts.select("first.doc_id", "first.line_no", *more)), lines, t) if met else None
+    if met:
+        hubs = hubs.join(known, ["doc_id", "line_no"], "left_anti")
+    near = verified(nearest_only(hubs.select(F.struct("hub.doc_id", "hub.line_no").alias("a"), F.struct("doc_id", "line_no").alias("b"), "hub.apart")), lines, t)
+    near = near.unionByName(known) if met else near
     prefixes = prefixes.drop("hub")
     rest = keep(prefixes.where("later").join(near, ["doc_id", "line_no"], "left_anti"), "line-rest")
-    more = verified(nearest_only(candidate_pairs(rest, prefixes, t)), lines, t)
-    last = rest.join(more, ["doc_id", "line_no"], "left_anti")
-    near = near.unionByName(more).unionByName(verified(candidate_pairs(last, prefixes, t).select("a", "b").distinct(), lines, t, sift=True))
+    nearest = verified(nearest_only(candidate_pairs(rest, prefixes, t)), lines, t)
+    last = rest.join(nearest, ["doc_id", "line_no"], "left_anti")
+    near = near.unionByName(nearest).unionByName(verified(candidate_pairs(last, prefixes, t).select("a", "b").distinct(), lines, t, sift=True))
     discard(rest)
     spark.sql(f"drop table {name}")
     spark.sql(f"drop table {name}_prefixes")
     # Copies of a first line go with it or after it.
     firsts = firsts.join(near.select(F.struct("doc_id", "line_no").alias("first"), F.lit(True).alias("gone")), "first", "left")
-    copies = every.join(firsts, ["h1", "h2"])
+    copies = every.drop(*more).join(firsts.drop(*more), ["h1", "h2"])
     return copies.where(F.col("gone") | (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no").distinct()
 
 

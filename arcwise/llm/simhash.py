@@ -14,7 +14,7 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BOOL, LONG, byte_column, components, keep, merge_links, schema, small_batches
@@ -28,7 +28,11 @@ SEGMENTS = ((0, 2), (400_000, 4), (10_000_000, 8), (400_000_000, 16))
 
 def fingerprint(data: bytes, words: int = SHINGLE, seed: int = 42) -> int:
     """Bits set in over half of the XXH64 of the word shingles; 0 without words."""
-    h = shingle_hashes(data, words, seed)
+    return majority(shingle_hashes(data, words, seed))
+
+
+def majority(h: np.ndarray) -> int:
+    """Bits set in over half of the hashes; 0 without hashes."""
     ones = np.zeros(64, "int64")
     for at in range(0, len(h), 1 << 16):
         ones += np.unpackbits(h[at : at + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="int64")
@@ -190,6 +194,16 @@ def link_fingerprints(distinct: DataFrame, radius: int = RADIUS, segments: int |
 TILE = schema(tile=LONG, fp=LONG, guest=BOOL)
 
 
+def fingerprint_groups(fps: DataFrame, key: str | Column, radius: int = RADIUS, segments: int | None = None) -> DataFrame:
+    """(fp, first) of each distinct fingerprint of fps: the smallest key of those reachable over links of at most radius differing bits."""
+    reps = keep(fps.groupBy("fp").agg(F.min(key).alias("least")), "simhash-distinct")
+    links = keep(link_fingerprints(reps, radius, segments), "simhash-links")
+    comp = components(links)
+    named = reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("least").alias("first"))
+    return named.join(least, "component").select("fp", "first")
+
+
 def simhash_components(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, segments: int | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of docs(doc_id, text).
 
@@ -200,12 +214,7 @@ def simhash_components(docs: DataFrame, radius: int = RADIUS, words: int = SHING
     table gives an empty result; extra columns are ignored.
     """
     fps = keep(fingerprints(docs, words), "simhash")
-    reps = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    links = keep(link_fingerprints(reps, radius, segments), "simhash-links")
-    comp = components(links)
-    named = reps.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    ids = keep(named.join(least, "component").select("fp", "component_id"), "simhash-ids")
+    ids = keep(fingerprint_groups(fps, "doc_id", radius, segments).withColumnRenamed("first", "component_id"), "simhash-ids")
     return fps.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
