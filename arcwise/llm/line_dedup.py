@@ -1,41 +1,46 @@
 """Near-duplicate lines by an exact set-similarity join, in DataFrame functions only.
 
-A line is the set of its words. Its words are ordered by rarity, and two
-lines of Jaccard similarity t or more share a word among the rarest
+A line is the set of its words. Its words are put in one fixed order, and two
+lines of Jaccard similarity t or more share a word among the first
 n - ceil(t n) + 1 of each: its prefix. Lines meet on prefix words, subject to
 length, positional and bit-signature bounds that never lose a pair, and the
 pairs left are verified by their words. A line goes if an earlier line, by
 (doc_id, line number), is that similar; equal lines are settled beforehand by
-their hashes, so copies never meet. One earlier match is enough to remove a
+their hashes, so copies never meet. Only prefix words that let some other
+line through are looked at further. One earlier match is enough to remove a
 line, so lines first meet only the earliest line of each prefix word and
 length; just those left over meet all others. Groups of alike lines are thus
 never expanded into all pairs.
 
-Rarity comes from a table of fixed size: all words are counted by slots of
-their 64-bit hashes, and a word is as rare as its slot. Any fixed order of
-words gives exact results; the table only shortens the lists. Prefix words
-that one line alone has are dropped before lines meet.
+Any fixed order of words gives exact results; a good one puts rare words
+first. Long words come first, as they are rare, and need no count; words that
+fill a prefix too often all the same are put last in a second pass. Lines
+given as hashes have no lengths: their order comes from a table of fixed size,
+in which all hashes are counted by slots.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, keep, spent_shuffles_go
+from .common import discard, keep, settings, spent_shuffles_go
 
 SIMILARITY = (4, 5)
 #: Lines with fewer words are kept, and remove nothing.
 LEAST_WORDS = 5
 #: Slots of the rarity table.
 SLOTS = 1 << 18
+#: Prefixes that a word fills before it is put last, and the most such words.
+HOT, HOT_WORDS = 50_000, 1000
+#: Places of a prefix that have a signature of their own.
+BLOCKS = 8
 BLANKS = " \t\n\v\f\r"
-SPACE = r"[\x20\x09-\x0D]+"
-WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _hashed(lines: DataFrame) -> bool:
@@ -43,19 +48,20 @@ def _hashed(lines: DataFrame) -> bool:
     return isinstance(lines.schema["line"].dataType, T.ArrayType)
 
 
-def _words(lines: DataFrame) -> Column:
-    """Distinct words of a line that has any."""
-    return F.col("line") if _hashed(lines) else F.array_distinct(F.split(F.btrim("line", F.lit(BLANKS)), SPACE))
+def _split(lines: DataFrame) -> Column:
+    """All words; splitting at one blank takes no regular expression."""
+    blank = F.when(F.col("line").rlike(r"[\x09-\x0D]"), F.translate("line", BLANKS, " " * len(BLANKS))).otherwise(F.col("line"))
+    return F.array_remove(F.split(blank, " "), "")
 
 
-def _all_hashes(lines: DataFrame) -> Column:
-    """The words' hashes."""
-    return F.col("line") if _hashed(lines) else F.transform(F.split(F.btrim("line", F.lit(BLANKS)), SPACE), lambda w: F.xxhash64(w))
+def _words(lines: DataFrame) -> Column:
+    """Distinct words of a line that has any."""
+    return F.col("line") if _hashed(lines) else F.array_distinct(_split(lines))
 
 
 def _hashes(lines: DataFrame) -> Column:
     """The distinct words' hashes."""
-    return F.array_distinct(_all_hashes(lines))
+    return F.col("line") if _hashed(lines) else F.array_distinct(F.transform(_split(lines), lambda w: F.xxhash64(w)))
 
 
 #: Longs of a line's signature.
@@ -74,62 +80,90 @@ def split_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def at_least(words: int) -> Column:
+    """Whether the line has that many words."""
+    return F.col("line").rlike(rf"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){{{words}}}")
+
+
 def rarity_table(lines: DataFrame) -> str:
-    """Level of each slot of word hashes, comma-separated: about twice the log2 of its words over all lines(line)."""
-    slots = lines.select(F.explode(_all_hashes(lines)).alias("w"))
+    """Level of each slot of hashes, comma-separated: about twice the log2 of its hashes over all lines(line)."""
+    slots = lines.select(F.explode("line").alias("w"))
     rows = slots.groupBy(F.pmod("w", F.lit(SLOTS)).alias("id")).agg(F.least(F.floor(2 * F.log2(F.count(F.lit(1)).cast("double"))), F.lit(63)).cast("int").alias("level"))
     every = lines.sparkSession.range(SLOTS).join(rows, "id", "left").select("id", F.coalesce("level", F.lit(0)).alias("level"))
     # One short text for SLOTS slots: that many rows would take the driver a hundred megabytes.
     return every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "level"))), lambda x: x["level"].cast("string")), ",")).first()[0]
 
 
-def prefix_rows(lines: DataFrame, levels: str, t: tuple[int, int]) -> DataFrame:
-    """(word, doc_id, line_no, n, pos, bits, hub): the prefix words of lines(doc_id, line_no, line) that several lines have.
+#: Bits of a key below its level.
+LOW = (1 << 57) - 1
 
-    Words are ordered by level, then hash, packed in one number that stands
-    for the word. bits has a bit for each word of the line. hub is the
-    earliest line with the prefix word and the length, null for itself.
+
+def _keys(lines: DataFrame, levels: str | None, last: list[int]) -> Column:
+    """Distinct words in their order, each as a number: a level in the six bits below the sign, its hash's lower bits after it."""
+    low = lambda w: w.bitwiseAND(F.lit(LOW))
+    if _hashed(lines):
+        table = F.split(F.lit(levels), ",").cast("array<bigint>")
+        return F.sort_array(F.transform("line", lambda w: F.shiftleft(F.coalesce(F.get(table, F.pmod(w, F.lit(SLOTS)).cast("int")), F.lit(0).cast("long")), 57).bitwiseOR(low(w))))
+    level = lambda w: 62 - F.least(F.octet_length(w), F.lit(62))
+    if last:
+        hot = F.array(*[F.lit(x).cast("long") for x in last])
+        key = lambda w: F.shiftleft(F.when(F.array_contains(hot, low(F.xxhash64(w))), 63).otherwise(level(w)).cast("long"), 57).bitwiseOR(low(F.xxhash64(w)))
+    else:
+        key = lambda w: F.shiftleft(level(w).cast("long"), 57).bitwiseOR(low(F.xxhash64(w)))
+    return F.sort_array(F.array_distinct(F.transform(_split(lines), key)))
+
+
+def prefix_rows(lines: DataFrame, t: tuple[int, int], levels: str | None = None, last: list[int] | None = None) -> DataFrame:
+    """(word, doc_id, line_no, n, pos, off, sig): the prefix words of lines(doc_id, line_no, line).
+
+    word is the number that stands for it. sig has a bit for each place of 64
+    that an odd number of the line's words from place off on has; off is
+    pos or a little less.
     """
     a, b = t
-    rows = lines.select("doc_id", "line_no", _hashes(lines).alias("words"))
-    table = F.split(F.lit(levels), ",").cast("array<bigint>")
-
-    def key(w: Column) -> Column:
-        # The level stands in the six bits below the sign, the hash's lower bits after it.
-        return F.shiftleft(F.get(table, F.pmod(w, F.lit(SLOTS)).cast("int")), 57).bitwiseOR(w.bitwiseAND(F.lit((1 << 57) - 1)))
-
-    bits = "aggregate(words, 0L, (s, w) -> s | shiftleft(1L, cast(w & 63 as int)))"
-    rows = rows.select("doc_id", "line_no", F.size("words").alias("n"), F.expr(bits).alias("bits"), F.sort_array(F.transform("words", key)).alias("keys"))
-    rows = rows.withColumn("keys", F.expr(f"slice(keys, 1, cast(n - (({a} * n + {b - 1}) div {b}) + 1 as int))"))
-    rows = rows.select("doc_id", "line_no", "n", "bits", F.posexplode("keys").alias("pos", "word"))
-    rows = rows.repartition("word")
-    hub = F.first(F.struct("doc_id", "line_no", "pos", "bits")).over(Window.partitionBy("word", "n").orderBy("doc_id", "line_no"))
-    rows = rows.withColumn("hub", hub).withColumn("first", F.min(F.struct("doc_id", "line_no")).over(Window.partitionBy("word")))
-    rows = rows.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("word"))).where("lists > 1")
-    need = f"((2 * {a} * n + {a + b - 1}) div {a + b})"
-    apart = "bit_count(bits ^ hub.bits)"
-    near = f"least(pos, hub.pos) + n - greatest(pos, hub.pos) >= {need} and {apart} <= 2 * n - 2 * {need} and struct(hub.doc_id, hub.line_no) < struct(doc_id, line_no)"
-    rows = rows.withColumn("hub", F.expr(f"case when {near} then struct({apart} as apart, hub.doc_id, hub.line_no) end"))
-    return rows.withColumn("later", F.struct("doc_id", "line_no") > F.col("first")).drop("lists", "first")
+    parity = "(s, k) -> s ^ shiftleft(1L, cast(k & 63 as int))"
+    rows = lines.select("doc_id", "line_no", _keys(lines, levels, last or []).alias("keys")).withColumn("n", F.size("keys"))
+    rows = rows.withColumn("p", F.expr(f"cast(n - (({a} * n + {b - 1}) div {b}) + 1 as int)"))
+    rows = rows.withColumn("step", F.expr(f"cast((p + {BLOCKS - 1}) div {BLOCKS} as int)")).withColumn("all", F.expr(f"aggregate(keys, 0L, {parity})"))
+    rows = rows.withColumn("sigs", F.expr(f"transform(sequence(0, cast((p - 1) div step as int)), q -> aggregate(slice(keys, 1, q * step), all, {parity}))"))
+    rows = rows.select("doc_id", "line_no", "n", "step", "sigs", F.posexplode(F.expr("slice(keys, 1, p)")).alias("pos", "word"))
+    return rows.select("word", "doc_id", "line_no", "n", "pos", F.expr("pos - pos % step").alias("off"), F.expr("get(sigs, cast(pos div step as int))").alias("sig"))
 
 
-def candidate_pairs(later: DataFrame, earlier: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b, apart) of lines as structs (doc_id, line_no), a earlier, that the bounds let through; apart counts unlike bits.
+def _may_be_near(t: tuple[int, int]) -> str:
+    """Whether prefix rows x and y of one word may be the first that two similar lines share.
 
-    A similar pair comes at least from its first shared word: no word before
-    it is shared, so enough words must follow in both lines.
+    No word before it is shared, so enough words must follow in both lines,
+    and the words from off on differ by no more than those before leave.
     """
-    a_, b_ = t
-    need = f"(({a_} * (x.n + y.n) + {a_ + b_ - 1}) div {a_ + b_})"  # least number of shared words
-    bounds = f"""
+    a, b = t
+    need = f"(({a} * (x.n + y.n) + {a + b - 1}) div {a + b})"  # least number of shared words
+    return f"""
         x.word = y.word
-        and struct(x.doc_id, x.line_no) < struct(y.doc_id, y.line_no)
-        and {a_} * x.n <= {b_} * y.n and {a_} * y.n <= {b_} * x.n
+        and {a} * x.n <= {b} * y.n and {a} * y.n <= {b} * x.n
         and least(x.n - x.pos, y.n - y.pos) >= {need}
-        and bit_count(x.bits ^ y.bits) <= x.n + y.n - 2 * {need}
+        and bit_count(x.sig ^ y.sig) <= x.n + y.n - 2 * {need} - x.off - y.off
     """
-    pairs = earlier.alias("x").join(later.alias("y"), F.expr(bounds))
-    return pairs.select(F.struct("x.doc_id", "x.line_no").alias("a"), F.struct("y.doc_id", "y.line_no").alias("b"), F.expr("bit_count(x.bits ^ y.bits)").alias("apart"))
+
+
+def met_rows(prefixes: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The prefix rows whose bounds let another line's row through."""
+    x, y = prefixes.alias("x"), prefixes.alias("y")
+    return x.join(y, F.expr(_may_be_near(t) + " and (x.doc_id <> y.doc_id or x.line_no <> y.line_no)"), "left_semi")
+
+
+def hub_pairs(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b, apart) of each line b with the earliest line a that has the prefix word and the length."""
+    first = F.first(F.struct("doc_id", "line_no", "n", "pos", "off", "sig")).over(Window.partitionBy("word", "n").orderBy("doc_id", "line_no"))
+    near = _may_be_near(t).replace("x.word = y.word", "struct(x.doc_id, x.line_no) < struct(y.doc_id, y.line_no)")
+    both = rows.select(first.alias("x"), F.struct("doc_id", "line_no", "n", "pos", "off", "sig").alias("y")).where(near)
+    return both.select(F.struct("x.doc_id", "x.line_no").alias("a"), F.struct("y.doc_id", "y.line_no").alias("b"), F.expr("bit_count(x.sig ^ y.sig)").alias("apart"))
+
+
+def candidate_pairs(later: DataFrame, earlier: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b, apart) of lines as structs (doc_id, line_no), a earlier, that the bounds let through; apart counts unlike bits."""
+    pairs = earlier.alias("x").join(later.alias("y"), F.expr(_may_be_near(t) + " and struct(x.doc_id, x.line_no) < struct(y.doc_id, y.line_no)"))
+    return pairs.select(F.struct("x.doc_id", "x.line_no").alias("a"), F.struct("y.doc_id", "y.line_no").alias("b"), F.expr("bit_count(x.sig ^ y.sig)").alias("apart"))
 
 
 def nearest_only(pairs: DataFrame) -> DataFrame:
@@ -137,32 +171,31 @@ def nearest_only(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("b").agg(F.min(F.struct("apart", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
 
 
-def _with_words(pairs: DataFrame, lines: DataFrame, words: Column) -> tuple[DataFrame, DataFrame]:
-    """pairs with the words of both lines as wa and wb, and the kept table of words that it reads."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().select("k.doc_id", "k.line_no")
-    told = keep(lines.join(ends, ["doc_id", "line_no"]).select(F.struct("doc_id", "line_no").alias("k"), words.alias("words")), "line-words")
-    left, right = told.select(F.col("k").alias("a"), F.col("words").alias("wa")), told.select(F.col("k").alias("b"), F.col("words").alias("wb"))
-    return pairs.join(left, "a").join(right, "b"), told
+def words_of(ends: DataFrame, table: DataFrame) -> DataFrame:
+    """(k, words, sign) of the lines ends(doc_id, line_no), from table(h1, h2, doc_id, line_no, line), which lies by its hashes and is not moved."""
+    ends = ends.distinct().join(table.where("line is not null").select("doc_id", "line_no", "h1", "h2"), ["doc_id", "line_no"])
+    texts = table.where("line is not null").select("h1", "h2", "line")
+    found = texts.join(ends.hint("shuffle_hash"), ["h1", "h2"])
+    return keep(found.select(F.struct("doc_id", "line_no").alias("k"), _words(found).alias("words"), _signature(found).alias("sign")), "line-words")
+
 
+def _with_both(pairs: DataFrame, told: DataFrame, column: str) -> DataFrame:
+    """pairs(a, b) with that column of told for both lines, as wa and wb."""
+    return pairs.join(told.select(F.col("k").alias("a"), F.col(column).alias("wa")), "a").join(told.select(F.col("k").alias("b"), F.col(column).alias("wb")), "b")
 
-def verified(pairs: DataFrame, lines: DataFrame, t: tuple[int, int], sift: bool = False) -> DataFrame:
-    """The later lines (doc_id, line_no) of those pairs (a, b) whose words are similar enough.
+
+def verified(pairs: DataFrame, told: DataFrame, t: tuple[int, int], sift: bool = False) -> DataFrame:
+    """The later lines (doc_id, line_no) of those pairs (a, b) whose words are similar enough; told comes from words_of.
 
     sift compares 256-bit signatures first, which lets no similar pair go, so
     that fewer words are moved: unlike bits are at most the unlike words.
     """
     a_, b_ = t
     near = f"{a_ + b_} * size(array_intersect(wa, wb)) >= {a_} * (size(wa) + size(wb))"
-    pairs, spent = keep(pairs, "line-pairs"), []
     if sift:
-        both, told = _with_words(pairs, lines, _signature(lines))
         apart = " + ".join(f"bit_count(wa.s{k} ^ wb.s{k})" for k in range(SIGNATURE))
-        spent += [pairs, told]
-        pairs = keep(both.where(f"{apart} <= wa.n + wb.n - 2 * (({a_} * (wa.n + wb.n) + {a_ + b_ - 1}) div {a_ + b_})").select("a", "b"), "line-pairs")
-    both, told = _with_words(pairs, lines, _words(lines))
-    out = keep(both.where(near).select("b.doc_id", "b.line_no").distinct(), "line-near")
-    discard(*spent, pairs, told)
-    return out
+        pairs = _with_both(pairs, told, "sign").where(f"{apart} <= wa.n + wb.n - 2 * (({a_} * (wa.n + wb.n) + {a_ + b_ - 1}) div {a_ + b_})").select("a", "b")
+    return keep(_with_both(pairs, told, "words").where(near).select("b.doc_id", "b.line_no").distinct(), "line-near")
 
 
 def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -173,7 +206,7 @@ def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words:
     document here: their lines go where the id's do.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    return later_lines(split_lines(docs).where(F.regexp_count("line", F.lit(WORD)) >= least_words), t)
+    return later_lines(split_lines(docs).where(at_least(least_words)), t)
 
 
 def later_lines(rows: DataFrame, t: tuple[int, int] = SIMILARITY, met: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -187,37 +220,55 @@ def later_lines(rows: DataFrame, t: tuple[int, int] = SIMILARITY, met: Callable[
     """
     spark = rows.sparkSession
     more = [c for c in rows.columns if c not in ("doc_id", "line_no", "line")]
-    every = keep(rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), *more), "line-hashes")
-    firsts = keep(every.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", *more)).alias("first")).select("h1", "h2", F.struct("first.doc_id", "first.line_no").alias("first"), *[f"first.{c}" for c in more]), "line-firsts")
-    # First lines with their texts, laid out by place so that looking them up again moves no text.
-    lines = rows.drop(*more).join(firsts.select("first.doc_id", "first.line_no"), ["doc_id", "line_no"])
-    name = f"arcwise_lines_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    with spent_shuffles_go(spark):
-        lines.write.bucketBy(buckets, "doc_id", "line_no").option("compression", "zstd").format("parquet").saveAsTable(name)
-    lines = spark.table(name)
-    # Prefix words laid out by word: candidate joins move the later lines only.
-    with spent_shuffles_go(spark):
-        prefix_rows(lines, rarity_table(lines), t).write.bucketBy(buckets, "word").option("compression", "zstd").format("parquet").saveAsTable(f"{name}_prefixes")
-    prefixes = spark.table(f"{name}_prefixes")
-    hubs = prefixes.where("hub is not null")
-    known = verified(met(firsts.select("first.doc_id", "first.line_no", *more)), lines, t) if met else None
+    place, key = F.struct("doc_id", "line_no"), ["doc_id", "line_no"]
+    name = f"arcwise_lines_{uuid.uuid4().hex}"
+    every = rows.select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"), "line", *more)
+    same = Window.partitionBy("h1", "h2").orderBy("doc_id", "line_no")
+    every = every.withColumn("first", F.first(place).over(same)).withColumn("no", F.row_number().over(same))
+    # First lines with their texts, laid out by hash so that looking them up again moves no text; of copies the places only.
+    every = every.select("h1", "h2", "doc_id", "line_no", F.when(F.col("no") == 1, F.col("line")).alias("line"), (place > F.col("first")).alias("copy"), *more)
+    try:
+        with spent_shuffles_go(spark):
+            every.write.bucketBy(buckets, "h1", "h2").option("compression", "zstd").format("parquet").saveAsTable(name)
+        table = spark.table(name)
+        lines = table.where("line is not null")
+        last, levels = [], rarity_table(lines) if _hashed(lines) else None
+        for again in range(2):
+            # Prefix words laid out by word, in order, so that meeting moves and sorts nothing.
+            with spent_shuffles_go(spark):
+                rows_ = prefix_rows(lines, t, levels, last).repartition("word")
+                rows_.write.bucketBy(buckets, "word").sortBy("word").option("compression", "zstd").format("parquet").saveAsTable(f"{name}_prefixes")
+            if again or levels is not None:
+                break
+            often = spark.table(f"{name}_prefixes").groupBy("word").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)
+            last = sorted(r.word & LOW for r in often.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect())
+            if not last:
+                break
+            spark.sql(f"drop table {name}_prefixes")
+        with settings(spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
+            meeting = keep(met_rows(spark.table(f"{name}_prefixes"), t), "line-meeting")
+        spark.sql(f"drop table {name}_prefixes")
+        named = keep(met(lines.select(*key, *more)), "line-pairs") if met else None
+        ends = meeting.select(*key)
+        if met:
+            ends = ends.unionByName(named.select(F.explode(F.array("a", "b")).alias("k")).select("k.doc_id", "k.line_no"))
+        told = words_of(ends, table)
+        copies = keep(table.where("copy").select(*key), "line-copies")
+    finally:
+        spark.sql(f"drop table if exists {name}")
+        spark.sql(f"drop table if exists {name}_prefixes")
+    hubs, near = hub_pairs(meeting, t), verified(named, told, t) if met else None
     if met:
-        hubs = hubs.join(known, ["doc_id", "line_no"], "left_anti")
-    near = verified(nearest_only(hubs.select(F.struct("hub.doc_id", "hub.line_no").alias("a"), F.struct("doc_id", "line_no").alias("b"), "hub.apart")), lines, t)
-    near = near.unionByName(known) if met else near
-    prefixes = prefixes.drop("hub")
-    rest = keep(prefixes.where("later").join(near, ["doc_id", "line_no"], "left_anti"), "line-rest")
-    nearest = verified(nearest_only(candidate_pairs(rest, prefixes, t)), lines, t)
-    last = rest.join(nearest, ["doc_id", "line_no"], "left_anti")
-    near = near.unionByName(nearest).unionByName(verified(candidate_pairs(last, prefixes, t).select("a", "b").distinct(), lines, t, sift=True))
-    discard(rest)
-    spark.sql(f"drop table {name}")
-    spark.sql(f"drop table {name}_prefixes")
-    # Copies of a first line go with it or after it.
-    firsts = firsts.join(near.select(F.struct("doc_id", "line_no").alias("first"), F.lit(True).alias("gone")), "first", "left")
-    copies = every.drop(*more).join(firsts.drop(*more), ["h1", "h2"])
-    return copies.where(F.col("gone") | (F.struct("doc_id", "line_no") > F.col("first"))).select("doc_id", "line_no").distinct()
+        hubs = hubs.join(near.select(F.struct(*key).alias("b")), "b", "left_anti")
+    found = verified(nearest_only(hubs), told, t)
+    near = near.unionByName(found) if met else found
+    for last_round in (False, True):
+        rest = keep((rest if last_round else meeting).join(near, key, "left_anti"), "line-rest")
+        pairs = candidate_pairs(rest, meeting, t)
+        near = near.unionByName(verified(pairs.select("a", "b").distinct() if last_round else nearest_only(pairs), told, t, sift=last_round))
+    discard(meeting, told)
+    return copies.unionByName(near).distinct()
 
 
 def drop_lines(docs: DataFrame, removed: DataFrame) -> DataFrame:
