@@ -59,22 +59,10 @@ def _words(lines: DataFrame) -> Column:
     return F.col("line") if _hashed(lines) else F.array_distinct(_split(lines))
 
 
-def _hashes(lines: DataFrame) -> Column:
-    """The distinct words' hashes."""
-    return F.col("line") if _hashed(lines) else F.array_distinct(F.transform(_split(lines), lambda w: F.xxhash64(w)))
-
-
 #: Longs of a line's signature.
 SIGNATURE = 4
 
 
-def _signature(lines: DataFrame) -> Column:
-    """Number of distinct words n and a bit for each word in one of the longs s0, s1, ..."""
-    h = _hashes(lines)
-    lane = lambda k: F.aggregate(F.filter(h, lambda w: F.pmod(F.shiftright(w, 6), F.lit(SIGNATURE)) == k), F.lit(0).cast("long"), lambda s, w: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), w.bitwiseAND(F.lit(63)).cast("int"))))
-    return F.struct(F.size(h).alias("n"), *[lane(k).alias(f"s{k}") for k in range(SIGNATURE)])
-
-
 def split_lines(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line of docs(doc_id, text); null texts have no lines."""
     return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
@@ -114,11 +102,12 @@ def _keys(lines: DataFrame, levels: str | None, last: list[int]) -> Column:
 
 
 def prefix_rows(lines: DataFrame, t: tuple[int, int], levels: str | None = None, last: list[int] | None = None) -> DataFrame:
-    """(word, doc_id, line_no, n, pos, off, sig): the prefix words of lines(doc_id, line_no, line).
+    """(word, size, doc_id, line_no, n, pos, off, sig): the prefix words of lines(doc_id, line_no, line).
 
     word is the number that stands for it. sig has a bit for each place of 64
     that an odd number of the line's words from place off on has; off is
-    pos or a little less.
+    pos or a little less. size is the number of binary digits of n; a row
+    that may meet lines of one digit more as the shorter one is there twice.
     """
     a, b = t
     parity = "(s, k) -> s ^ shiftleft(1L, cast(k & 63 as int))"
@@ -126,8 +115,10 @@ def prefix_rows(lines: DataFrame, t: tuple[int, int], levels: str | None = None,
     rows = rows.withColumn("p", F.expr(f"cast(n - (({a} * n + {b - 1}) div {b}) + 1 as int)"))
     rows = rows.withColumn("step", F.expr(f"cast((p + {BLOCKS - 1}) div {BLOCKS} as int)")).withColumn("all", F.expr(f"aggregate(keys, 0L, {parity})"))
     rows = rows.withColumn("sigs", F.expr(f"transform(sequence(0, cast((p - 1) div step as int)), q -> aggregate(slice(keys, 1, q * step), all, {parity}))"))
-    rows = rows.select("doc_id", "line_no", "n", "step", "sigs", F.posexplode(F.expr("slice(keys, 1, p)")).alias("pos", "word"))
-    return rows.select("word", "doc_id", "line_no", "n", "pos", F.expr("pos - pos % step").alias("off"), F.expr("get(sigs, cast(pos div step as int))").alias("sig"))
+    rows = rows.select("doc_id", "line_no", "n", F.length(F.bin("n")).alias("digits"), "step", "sigs", F.posexplode(F.expr("slice(keys, 1, p)")).alias("pos", "word"))
+    rows = rows.select("word", "doc_id", "line_no", "n", "digits", "pos", F.expr("pos - pos % step").alias("off"), F.expr("get(sigs, cast(pos div step as int))").alias("sig"))
+    both = f"{a} * next <= {b} * n and n - pos >= ({a} * (n + next) + {a + b - 1}) div {a + b}".replace("next", "shiftleft(1, digits)")
+    return rows.select("word", F.expr(f"explode(if({both}, array(digits, digits + 1), array(digits)))").alias("size"), "doc_id", "line_no", "n", "pos", "off", "sig")
 
 
 def _may_be_near(t: tuple[int, int]) -> str:
@@ -139,7 +130,7 @@ def _may_be_near(t: tuple[int, int]) -> str:
     a, b = t
     need = f"(({a} * (x.n + y.n) + {a + b - 1}) div {a + b})"  # least number of shared words
     return f"""
-        x.word = y.word
+        x.word = y.word and x.size = y.size
         and {a} * x.n <= {b} * y.n and {a} * y.n <= {b} * x.n
         and least(x.n - x.pos, y.n - y.pos) >= {need}
         and bit_count(x.sig ^ y.sig) <= x.n + y.n - 2 * {need} - x.off - y.off
@@ -152,18 +143,36 @@ def met_rows(prefixes: DataFrame, t: tuple[int, int]) -> DataFrame:
     return x.join(y, F.expr(_may_be_near(t) + " and (x.doc_id <> y.doc_id or x.line_no <> y.line_no)"), "left_semi")
 
 
+def signed_rows(rows: DataFrame, told: DataFrame) -> DataFrame:
+    """rows with the signatures of their lines, s0, s1, ..."""
+    signs = told.select("k.doc_id", "k.line_no", *[f"s{k}" for k in range(SIGNATURE)])
+    return rows.join(signs, ["doc_id", "line_no"])
+
+
+#: Unlike bits of the signatures of x and y.
+APART = "(" + " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(SIGNATURE)) + ")"
+
+
+def _signs_near(t: tuple[int, int]) -> str:
+    """Whether the unlike bits of x and y, x earlier, are no more than their unlike words may be."""
+    a, b = t
+    return f"struct(x.doc_id, x.line_no) < struct(y.doc_id, y.line_no) and {APART} <= x.n + y.n - 2 * (({a} * (x.n + y.n) + {a + b - 1}) div {a + b})"
+
+
+def _pairs(both: DataFrame) -> DataFrame:
+    return both.select(F.struct("x.doc_id", "x.line_no").alias("a"), F.struct("y.doc_id", "y.line_no").alias("b"), F.expr(APART).alias("apart"))
+
+
 def hub_pairs(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b, apart) of each line b with the earliest line a that has the prefix word and the length."""
-    first = F.first(F.struct("doc_id", "line_no", "n", "pos", "off", "sig")).over(Window.partitionBy("word", "n").orderBy("doc_id", "line_no"))
-    near = _may_be_near(t).replace("x.word = y.word", "struct(x.doc_id, x.line_no) < struct(y.doc_id, y.line_no)")
-    both = rows.select(first.alias("x"), F.struct("doc_id", "line_no", "n", "pos", "off", "sig").alias("y")).where(near)
-    return both.select(F.struct("x.doc_id", "x.line_no").alias("a"), F.struct("y.doc_id", "y.line_no").alias("b"), F.expr("bit_count(x.sig ^ y.sig)").alias("apart"))
+    """Pairs (a, b, apart) of each line b of signed rows with the earliest line a that has the prefix word and the length."""
+    row = F.struct([c for c in rows.columns if c != "word"])
+    first = F.first(row).over(Window.partitionBy("word", "size", "n").orderBy("doc_id", "line_no"))
+    return _pairs(rows.select(first.alias("x"), row.alias("y")).where(_signs_near(t)))
 
 
 def candidate_pairs(later: DataFrame, earlier: DataFrame, t: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b, apart) of lines as structs (doc_id, line_no), a earlier, that the bounds let through; apart counts unlike bits."""
-    pairs = earlier.alias("x").join(later.alias("y"), F.expr(_may_be_near(t) + " and struct(x.doc_id, x.line_no) < struct(y.doc_id, y.line_no)"))
-    return pairs.select(F.struct("x.doc_id", "x.line_no").alias("a"), F.struct("y.doc_id", "y.line_no").alias("b"), F.expr("bit_count(x.sig ^ y.sig)").alias("apart"))
+    """Pairs (a, b, apart) of lines of signed rows as structs (doc_id, line_no), a earlier, that the bounds let through; apart counts unlike bits."""
+    return _pairs(earlier.alias("x").join(later.alias("y"), F.expr(f"{_may_be_near(t)} and {_signs_near(t)}")))
 
 
 def nearest_only(pairs: DataFrame) -> DataFrame:
@@ -172,30 +181,25 @@ def nearest_only(pairs: DataFrame) -> DataFrame:
 
 
 def words_of(ends: DataFrame, table: DataFrame) -> DataFrame:
-    """(k, words, sign) of the lines ends(doc_id, line_no), from table(h1, h2, doc_id, line_no, line), which lies by its hashes and is not moved."""
+    """(k, words, s0, s1, ...) of the lines ends(doc_id, line_no), from table(h1, h2, doc_id, line_no, line), which lies by its hashes and is not moved.
+
+    s0, s1, ... have a bit for each place that an odd number of the words has.
+    """
     ends = ends.distinct().join(table.where("line is not null").select("doc_id", "line_no", "h1", "h2"), ["doc_id", "line_no"])
     texts = table.where("line is not null").select("h1", "h2", "line")
     found = texts.join(ends.hint("shuffle_hash"), ["h1", "h2"])
-    return keep(found.select(F.struct("doc_id", "line_no").alias("k"), _words(found).alias("words"), _signature(found).alias("sign")), "line-words")
+    found = found.select(F.struct("doc_id", "line_no").alias("k"), _words(found).alias("words"))
+    found = found.withColumn("hs", F.col("words") if _hashed(table) else F.transform("words", lambda w: F.xxhash64(w)))
+    lane = "aggregate(hs, 0L, (s, w) -> if((w & 192) = {}, s ^ shiftleft(1L, cast(w & 63 as int)), s))"
+    return keep(found.select("k", "words", *[F.expr(lane.format(k << 6)).alias(f"s{k}") for k in range(SIGNATURE)]), "line-words")
 
 
-def _with_both(pairs: DataFrame, told: DataFrame, column: str) -> DataFrame:
-    """pairs(a, b) with that column of told for both lines, as wa and wb."""
-    return pairs.join(told.select(F.col("k").alias("a"), F.col(column).alias("wa")), "a").join(told.select(F.col("k").alias("b"), F.col(column).alias("wb")), "b")
-
-
-def verified(pairs: DataFrame, told: DataFrame, t: tuple[int, int], sift: bool = False) -> DataFrame:
-    """The later lines (doc_id, line_no) of those pairs (a, b) whose words are similar enough; told comes from words_of.
-
-    sift compares 256-bit signatures first, which lets no similar pair go, so
-    that fewer words are moved: unlike bits are at most the unlike words.
-    """
-    a_, b_ = t
-    near = f"{a_ + b_} * size(array_intersect(wa, wb)) >= {a_} * (size(wa) + size(wb))"
-    if sift:
-        apart = " + ".join(f"bit_count(wa.s{k} ^ wb.s{k})" for k in range(SIGNATURE))
-        pairs = _with_both(pairs, told, "sign").where(f"{apart} <= wa.n + wb.n - 2 * (({a_} * (wa.n + wb.n) + {a_ + b_ - 1}) div {a_ + b_})").select("a", "b")
-    return keep(_with_both(pairs, told, "words").where(near).select("b.doc_id", "b.line_no").distinct(), "line-near")
+def verified(pairs: DataFrame, told: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """The later lines (doc_id, line_no) of those pairs (a, b) whose words are similar enough; told comes from words_of."""
+    a, b = t
+    both = pairs.join(told.select(F.col("k").alias("a"), F.col("words").alias("wa")), "a").join(told.select(F.col("k").alias("b"), F.col("words").alias("wb")), "b")
+    near = f"{a + b} * size(array_intersect(wa, wb)) >= {a} * (size(wa) + size(wb))"
+    return keep(both.where(near).select("b.doc_id", "b.line_no").distinct(), "line-near")
 
 
 def later_matches(docs: DataFrame, t: tuple[int, int] = SIMILARITY, least_words: int = LEAST_WORDS) -> DataFrame:
@@ -237,12 +241,13 @@ def later_lines(rows: DataFrame, t: tuple[int, int] = SIMILARITY, met: Callable[
         for again in range(2):
             # Prefix words laid out by word, in order, so that meeting moves and sorts nothing.
             with spent_shuffles_go(spark):
-                rows_ = prefix_rows(lines, t, levels, last).repartition("word")
-                rows_.write.bucketBy(buckets, "word").sortBy("word").option("compression", "zstd").format("parquet").saveAsTable(f"{name}_prefixes")
+                rows_ = prefix_rows(lines, t, levels, last).repartition("word", "size")
+                plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("word", "sig")}
+                rows_.write.bucketBy(buckets, "word", "size").sortBy("word", "size").options(compression="snappy", **plain).format("parquet").saveAsTable(f"{name}_prefixes")
             if again or levels is not None:
                 break
-            often = spark.table(f"{name}_prefixes").groupBy("word").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)
-            last = sorted(r.word & LOW for r in often.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect())
+            often = spark.table(f"{name}_prefixes").groupBy("word", "size").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)
+            last = sorted({r.word & LOW for r in often.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()})
             if not last:
                 break
             spark.sql(f"drop table {name}_prefixes")
@@ -254,6 +259,8 @@ def later_lines(rows: DataFrame, t: tuple[int, int] = SIMILARITY, met: Callable[
         if met:
             ends = ends.unionByName(named.select(F.explode(F.array("a", "b")).alias("k")).select("k.doc_id", "k.line_no"))
         told = words_of(ends, table)
+        meeting, met_first = keep(signed_rows(meeting, told), "line-meeting"), meeting
+        discard(met_first)
         copies = keep(table.where("copy").select(*key), "line-copies")
     finally:
         spark.sql(f"drop table if exists {name}")
@@ -266,7 +273,7 @@ def later_lines(rows: DataFrame, t: tuple[int, int] = SIMILARITY, met: Callable[
     for last_round in (False, True):
         rest = keep((rest if last_round else meeting).join(near, key, "left_anti"), "line-rest")
         pairs = candidate_pairs(rest, meeting, t)
-        near = near.unionByName(verified(pairs.select("a", "b").distinct() if last_round else nearest_only(pairs), told, t, sift=last_round))
+        near = near.unionByName(verified(pairs.select("a", "b").distinct() if last_round else nearest_only(pairs), told, t))
     discard(meeting, told)
     return copies.unionByName(near).distinct()
 
