@@ -95,30 +95,49 @@ def _keys(lines: DataFrame, levels: str | None, last: list[int]) -> Column:
     level = lambda w: 62 - F.least(F.octet_length(w), F.lit(62))
     if last:
         hot = F.array(*[F.lit(x).cast("long") for x in last])
-        key = lambda w: F.shiftleft(F.when(F.array_contains(hot, low(F.xxhash64(w))), 63).otherwise(level(w)).cast("long"), 57).bitwiseOR(low(F.xxhash64(w)))
+        key = lambda w: F.shiftleft(F.when(F.array_contains(hot, F.xxhash64(w).bitwiseAND(F.lit(LOW & ~SIZES))), 63).otherwise(level(w)).cast("long"), 57).bitwiseOR(low(F.xxhash64(w)))
     else:
         key = lambda w: F.shiftleft(level(w).cast("long"), 57).bitwiseOR(low(F.xxhash64(w)))
     return F.sort_array(F.array_distinct(F.transform(_split(lines), key)))
 
 
+#: Bits of a word's number that hold the size of the line.
+SIZES = 31
+
+
+def _prefix(t: tuple[int, int]) -> str:
+    """Words of the prefix of n words."""
+    return f"(n - (({t[0]} * n + {t[1] - 1}) div {t[1]}) + 1)"
+
+
+def _step(t: tuple[int, int]) -> str:
+    """Places of a prefix that share a signature."""
+    return f"(({_prefix(t)} + {BLOCKS - 1}) div {BLOCKS})"
+
+
 def prefix_rows(lines: DataFrame, t: tuple[int, int], levels: str | None = None, last: list[int] | None = None) -> DataFrame:
-    """(word, size, doc_id, line_no, n, pos, off, sig): the prefix words of lines(doc_id, line_no, line).
+    """(word, doc_id, line_no, n, pos, sig): the prefix words of lines(doc_id, line_no, line).
 
-    word is the number that stands for it. sig has a bit for each place of 64
-    that an odd number of the line's words from place off on has; off is
-    pos or a little less. size is the number of binary digits of n; a row
-    that may meet lines of one digit more as the shorter one is there twice.
+    word is the number that stands for it, with the number of binary digits
+    of n in place of its last bits; a row that may meet lines of one digit
+    more as the shorter one is there twice. sig has a bit for each place of 64
+    that an odd number of the line's words from place with_off() on has.
     """
     a, b = t
     parity = "(s, k) -> s ^ shiftleft(1L, cast(k & 63 as int))"
     rows = lines.select("doc_id", "line_no", _keys(lines, levels, last or []).alias("keys")).withColumn("n", F.size("keys"))
-    rows = rows.withColumn("p", F.expr(f"cast(n - (({a} * n + {b - 1}) div {b}) + 1 as int)"))
-    rows = rows.withColumn("step", F.expr(f"cast((p + {BLOCKS - 1}) div {BLOCKS} as int)")).withColumn("all", F.expr(f"aggregate(keys, 0L, {parity})"))
+    rows = rows.withColumn("p", F.expr(f"cast({_prefix(t)} as int)")).withColumn("step", F.expr(f"cast({_step(t)} as int)")).withColumn("all", F.expr(f"aggregate(keys, 0L, {parity})"))
     rows = rows.withColumn("sigs", F.expr(f"transform(sequence(0, cast((p - 1) div step as int)), q -> aggregate(slice(keys, 1, q * step), all, {parity}))"))
     rows = rows.select("doc_id", "line_no", "n", F.length(F.bin("n")).alias("digits"), "step", "sigs", F.posexplode(F.expr("slice(keys, 1, p)")).alias("pos", "word"))
-    rows = rows.select("word", "doc_id", "line_no", "n", "digits", "pos", F.expr("pos - pos % step").alias("off"), F.expr("get(sigs, cast(pos div step as int))").alias("sig"))
+    rows = rows.select("word", "doc_id", "line_no", "n", "digits", "pos", F.expr("get(sigs, cast(pos div step as int))").alias("sig"))
     both = f"{a} * next <= {b} * n and n - pos >= ({a} * (n + next) + {a + b - 1}) div {a + b}".replace("next", "shiftleft(1, digits)")
-    return rows.select("word", F.expr(f"explode(if({both}, array(digits, digits + 1), array(digits)))").alias("size"), "doc_id", "line_no", "n", "pos", "off", "sig")
+    rows = rows.select("word", F.expr(f"explode(if({both}, array(digits, digits + 1), array(digits)))").alias("size"), "doc_id", "line_no", "n", "pos", "sig")
+    return rows.withColumn("word", F.expr(f"(word & {~SIZES}L) | size")).drop("size")
+
+
+def with_off(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """rows with off, the place in the line from which on sig counts: pos or a little less."""
+    return rows.withColumn("off", F.expr(f"cast(pos - pos % ({_step(t)}) as int)"))
 
 
 def _may_be_near(t: tuple[int, int]) -> str:
@@ -130,7 +149,7 @@ def _may_be_near(t: tuple[int, int]) -> str:
     a, b = t
     need = f"(({a} * (x.n + y.n) + {a + b - 1}) div {a + b})"  # least number of shared words
     return f"""
-        x.word = y.word and x.size = y.size
+        x.word = y.word
         and {a} * x.n <= {b} * y.n and {a} * y.n <= {b} * x.n
         and least(x.n - x.pos, y.n - y.pos) >= {need}
         and bit_count(x.sig ^ y.sig) <= x.n + y.n - 2 * {need} - x.off - y.off
@@ -139,6 +158,7 @@ def _may_be_near(t: tuple[int, int]) -> str:
 
 def met_rows(prefixes: DataFrame, t: tuple[int, int]) -> DataFrame:
     """The prefix rows whose bounds let another line's row through."""
+    prefixes = with_off(prefixes, t)
     x, y = prefixes.alias("x"), prefixes.alias("y")
     return x.join(y, F.expr(_may_be_near(t) + " and (x.doc_id <> y.doc_id or x.line_no <> y.line_no)"), "left_semi")
 
@@ -166,7 +186,7 @@ def _pairs(both: DataFrame) -> DataFrame:
 def hub_pairs(rows: DataFrame, t: tuple[int, int]) -> DataFrame:
     """Pairs (a, b, apart) of each line b of signed rows with the earliest line a that has the prefix word and the length."""
     row = F.struct([c for c in rows.columns if c != "word"])
-    first = F.first(row).over(Window.partitionBy("word", "size", "n").orderBy("doc_id", "line_no"))
+    first = F.first(row).over(Window.partitionBy("word", "n").orderBy("doc_id", "line_no"))
     return _pairs(rows.select(first.alias("x"), row.alias("y")).where(_signs_near(t)))
 
 
@@ -241,13 +261,13 @@ def later_lines(rows: DataFrame, t: tuple[int, int] = SIMILARITY, met: Callable[
         for again in range(2):
             # Prefix words laid out by word, in order, so that meeting moves and sorts nothing.
             with spent_shuffles_go(spark):
-                rows_ = prefix_rows(lines, t, levels, last).repartition("word", "size")
+                rows_ = prefix_rows(lines, t, levels, last).repartition("word")
                 plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("word", "sig")}
-                rows_.write.bucketBy(buckets, "word", "size").sortBy("word", "size").options(compression="snappy", **plain).format("parquet").saveAsTable(f"{name}_prefixes")
+                rows_.write.bucketBy(buckets, "word").sortBy("word").options(compression="zstd", **plain).format("parquet").saveAsTable(f"{name}_prefixes")
             if again or levels is not None:
                 break
-            often = spark.table(f"{name}_prefixes").groupBy("word", "size").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)
-            last = sorted({r.word & LOW for r in often.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()})
+            often = spark.table(f"{name}_prefixes").groupBy("word").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)
+            last = sorted({r.word & LOW & ~SIZES for r in often.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()})
             if not last:
                 break
             spark.sql(f"drop table {name}_prefixes")
