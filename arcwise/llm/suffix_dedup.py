@@ -89,7 +89,8 @@ def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Positions and key hashes of the anchors of all windows inside documents.
 
     The anchor is the leftmost smallest of the keys inside a window; windows
-    never cross the ends of documents.
+    never cross the ends of documents. The hashes are mixed once more, so that
+    they are spread evenly.
     """
     places, keys, last = [np.array([], "int64")], [np.array([], "u8")], -1
     for start in range(0, len(text) - WINDOW + 1, BLOCK):
@@ -105,7 +106,8 @@ def anchors(text: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
             last = start + int(at[-1])
             places.append(at + start)
             keys.append(h[at])
-    return np.concatenate(places), np.concatenate(keys)
+    # Smallest keys are small numbers, which would crowd the first buckets.
+    return np.concatenate(places), _mix(np.concatenate(keys))
 
 
 def surroundings(text: np.ndarray, ends: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
