@@ -34,10 +34,12 @@ from .common import discard, keep, settings, spent_shuffles_go
 SIMILARITY = (4, 5)
 #: Lines with fewer words are kept, and remove nothing.
 LEAST_WORDS = 5
-#: Slots of the rarity table.
-SLOTS = 1 << 18
+#: Slots of the rarity table, which is part of the plan.
+SLOTS = 1 << 16
 #: Prefixes that a word fills before it is put last, and the most such words.
 HOT, HOT_WORDS = 50_000, 1000
+#: Lines of hashes whose prefix words meet in one partition, on average.
+MET_LINES = 5_000
 #: Places of a prefix that have a signature of their own.
 BLOCKS = 8
 BLANKS = " \t\n\v\f\r"
@@ -90,8 +92,8 @@ def _keys(lines: DataFrame, levels: str | None, last: list[int]) -> Column:
     """Distinct words in their order, each as a number: a level in the six bits below the sign, its hash's lower bits after it."""
     low = lambda w: w.bitwiseAND(F.lit(LOW))
     if _hashed(lines):
-        table = F.split(F.lit(levels), ",").cast("array<bigint>")
-        return F.sort_array(F.transform("line", lambda w: F.shiftleft(F.coalesce(F.get(table, F.pmod(w, F.lit(SLOTS)).cast("int")), F.lit(0).cast("long")), 57).bitwiseOR(low(w))))
+        table = F.split(F.lit(levels), ",").cast("array<tinyint>")
+        return F.sort_array(F.transform("line", lambda w: F.shiftleft(F.coalesce(F.get(table, F.pmod(w, F.lit(SLOTS)).cast("int")), F.lit(0).cast("tinyint")).cast("long"), 57).bitwiseOR(low(w))))
     level = lambda w: 62 - F.least(F.octet_length(w), F.lit(62))
     if last:
         hot = F.array(*[F.lit(x).cast("long") for x in last])
@@ -163,6 +165,11 @@ def met_rows(prefixes: DataFrame, t: tuple[int, int]) -> DataFrame:
     return x.join(y, F.expr(_may_be_near(t) + " and (x.doc_id <> y.doc_id or x.line_no <> y.line_no)"), "left_semi")
 
 
+def met_at_once(prefixes: DataFrame, t: tuple[int, int], parts: int) -> DataFrame:
+    """met_rows of prefixes that no table holds: both sides read one shuffle, which is all that lies on disk."""
+    return met_rows(prefixes.repartition(parts, "word"), t)
+
+
 def signed_rows(rows: DataFrame, told: DataFrame) -> DataFrame:
     """rows with the signatures of their lines, s0, s1, ..."""
     signs = told.select("k.doc_id", "k.line_no", *[f"s{k}" for k in range(SIGNATURE)])
@@ -257,23 +264,27 @@ def later_lines(rows: DataFrame, t: tuple[int, int] = SIMILARITY, met: Callable[
             every.write.bucketBy(buckets, "h1", "h2").option("compression", "zstd").format("parquet").saveAsTable(name)
         table = spark.table(name)
         lines = table.where("line is not null")
-        last, levels = [], rarity_table(lines) if _hashed(lines) else None
-        for again in range(2):
+        last, hashed = [], _hashed(lines)
+        if hashed:
+            parts = max(buckets, -(-table.where("not copy").count() // MET_LINES))
+            meeting = keep(met_at_once(prefix_rows(lines, t, rarity_table(lines)), t, parts), "line-meeting")
+        for again in range(0 if hashed else 2):
             # Prefix words laid out by word, in order, so that meeting moves and sorts nothing.
             with spent_shuffles_go(spark):
-                rows_ = prefix_rows(lines, t, levels, last).repartition("word")
+                rows_ = prefix_rows(lines, t, None, last).repartition("word")
                 plain = {f"parquet.enable.dictionary#{c}": "false" for c in ("word", "sig")}
                 rows_.write.bucketBy(buckets, "word").sortBy("word").options(compression="zstd", **plain).format("parquet").saveAsTable(f"{name}_prefixes")
-            if again or levels is not None:
+            if again:
                 break
             often = spark.table(f"{name}_prefixes").groupBy("word").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)
             last = sorted({r.word & LOW & ~SIZES for r in often.orderBy(F.desc("c"), "word").limit(HOT_WORDS).collect()})
             if not last:
                 break
             spark.sql(f"drop table {name}_prefixes")
-        with settings(spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
-            meeting = keep(met_rows(spark.table(f"{name}_prefixes"), t), "line-meeting")
-        spark.sql(f"drop table {name}_prefixes")
+        if not hashed:
+            with settings(spark, spark__sql__legacy__bucketedTableScan__outputOrdering="true"):
+                meeting = keep(met_rows(spark.table(f"{name}_prefixes"), t), "line-meeting")
+            spark.sql(f"drop table {name}_prefixes")
         named = keep(met(lines.select(*key, *more)), "line-pairs") if met else None
         ends = meeting.select(*key)
         if met:
