@@ -21,15 +21,18 @@ in which all hashes are counted by slots.
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, keep, settings, spent_shuffles_go
+from .common import discard, keep, settings, small_batches, spent_shuffles_go
 
 SIMILARITY = (4, 5)
 #: Lines with fewer words are kept, and remove nothing.
@@ -208,7 +211,7 @@ def nearest_only(pairs: DataFrame) -> DataFrame:
 
 
 def words_of(ends: DataFrame, table: DataFrame) -> DataFrame:
-    """(k, words, s0, s1, ...) of the lines ends(doc_id, line_no), from table(h1, h2, doc_id, line_no, line), which lies by its hashes and is not moved.
+    """(k, words, s0, s1, ..., of hashes sketch too) of the lines ends(doc_id, line_no), from table(h1, h2, doc_id, line_no, line), which lies by its hashes and is not moved.
 
     s0, s1, ... have a bit for each place that an odd number of the words has.
     """
@@ -218,12 +221,46 @@ def words_of(ends: DataFrame, table: DataFrame) -> DataFrame:
     found = found.select(F.struct("doc_id", "line_no").alias("k"), _words(found).alias("words"))
     found = found.withColumn("hs", F.col("words") if _hashed(table) else F.transform("words", lambda w: F.xxhash64(w)))
     lane = "aggregate(hs, 0L, (s, w) -> if((w & 192) = {}, s ^ shiftleft(1L, cast(w & 63 as int)), s))"
-    return keep(found.select("k", "words", *[F.expr(lane.format(k << 6)).alias(f"s{k}") for k in range(SIGNATURE)]), "line-words")
+    found = found.select("k", "words", *[F.expr(lane.format(k << 6)).alias(f"s{k}") for k in range(SIGNATURE)])
+    return keep(sketched(found) if _hashed(table) else found, "line-words")
+
+
+def sketched(rows: DataFrame) -> DataFrame:
+    """rows(words: hashes) with sketch, a bit for each place that an odd number of the words has: one to two places a word, by powers of two from 64 on."""
+
+    def run(batches):
+        for batch in batches:
+            words, out = batch.column(batch.schema.get_field_index("words")), []
+            ends, flat = words.offsets.to_numpy(), words.values.to_numpy()
+            for i, j in itertools.pairwise(ends.tolist()):
+                places = 64 << max(0, (j - i - 1).bit_length() - 6)
+                odd = np.bincount(flat[i:j] & (places - 1), minlength=places) & 1
+                out.append(np.packbits(odd.astype("u1"), bitorder="little").view("<i8"))
+            bits = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]).astype("i4")), pa.array(np.concatenate(out or [np.zeros(0, "<i8")])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, bits], names=[*batch.schema.names, "sketch"])
+
+    small_batches(rows.sparkSession)
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("sketch", T.ArrayType(T.LongType()))]))
+
+
+def sketches_near(pairs: DataFrame, told: DataFrame, t: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (a, b) whose sketches differ in no more bits than their words may; sketches are short, and no similar pair is lost.
+
+    The larger sketch is folded to the places of the other, which differ from its own by one doubling at most.
+    """
+    a, b = t
+    of = lambda k: told.select(F.col("k").alias(k), F.size("words").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    both = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").where(f"{a} * na <= {b} * nb and {a} * nb <= {b} * na")
+    fold = "if(size({0}) > size({1}), zip_with(slice({0}, 1, size({1})), slice({0}, size({1}) + 1, size({1})), (p, q) -> p ^ q), {0})"
+    unlike = f"aggregate(zip_with({fold.format('sa', 'sb')}, {fold.format('sb', 'sa')}, (p, q) -> bit_count(p ^ q)), 0, (c, k) -> c + k)"
+    return both.where(f"{unlike} <= na + nb - 2 * (({a} * (na + nb) + {a + b - 1}) div {a + b})").select("a", "b")
 
 
 def verified(pairs: DataFrame, told: DataFrame, t: tuple[int, int]) -> DataFrame:
     """The later lines (doc_id, line_no) of those pairs (a, b) whose words are similar enough; told comes from words_of."""
     a, b = t
+    if "sketch" in told.columns:  # long lines of hashes: their words are moved for few pairs only
+        pairs = keep(sketches_near(pairs, told, t), "line-sifted")
     both = pairs.join(told.select(F.col("k").alias("a"), F.col("words").alias("wa")), "a").join(told.select(F.col("k").alias("b"), F.col("words").alias("wb")), "b")
     near = f"{a + b} * size(array_intersect(wa, wb)) >= {a} * (size(wa) + size(wb))"
     return keep(both.where(near).select("b.doc_id", "b.line_no").distinct(), "line-near")
