@@ -86,3 +86,11 @@ def test_both_ends_bring_the_same_bits(monkeypatch):
 def test_counts_by_bit():
     bits = np.random.default_rng(6).integers(0, 1 << 63, (9001, 4), dtype="u8")
     assert (iterate._counted(bits) == np.unpackbits(bits.view("u1"), axis=1, bitorder="little").sum(0)).all()
+
+
+def test_bits_that_are_set():
+    bits = np.random.default_rng(7).integers(0, 1 << 63, (999, 4), dtype="u8")
+    bits[::3] = 0
+    expected = np.nonzero(np.unpackbits(bits.view("u1"), axis=1, bitorder="little"))
+    for got, wanted in zip(iterate._set_bits(bits), expected, strict=True):
+        assert (got == wanted).all()
