@@ -94,3 +94,19 @@ def test_bits_that_are_set():
     expected = np.nonzero(np.unpackbits(bits.view("u1"), axis=1, bitorder="little"))
     for got, wanted in zip(iterate._set_bits(bits), expected, strict=True):
         assert (got == wanted).all()
+
+
+def test_harmonic_closeness_follows_the_direction(spark):
+    pairs = np.unique(np.random.default_rng(8).integers(0, 30, (70, 2)), axis=0)
+    repeated = [(int(a) * 5, int(b) * 5, 1.0) for a, b in pairs for _ in range(1 + (a + b) % 2)]
+    g = Graph(spark.createDataFrame(repeated, "src long, dst long, w double"), spark.range(0, 165, 5))
+    expected = {}
+    for s in range(33):
+        near, new, d, total = {s}, {s}, 0, 0.0
+        while new:
+            total, d = total + (len(new) / d if d else 0), d + 1
+            new = {int(b) for a, b in pairs if a in new} - near
+            near |= new
+        expected[5 * s] = total / 32
+    got = {r.id: r.closeness for r in iterate.harmonic_closeness(g, g.nodes.select("id"), 33).collect()}
+    assert got.keys() == expected.keys() and np.allclose([got[i] for i in expected], list(expected.values()))
